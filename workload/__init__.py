@@ -1,4 +1,4 @@
 """Registered queries over the driver tables, each beside its SQL twin."""
 
-from workload import rule_checks, record_figures  # noqa: F401
+from workload import field_checks, record_figures, rule_checks  # noqa: F401
 from workload.registry import ORACLES, QUERIES  # noqa: F401

@@ -206,3 +206,74 @@ DUCK_RECORDS = (
     )
     + ")"
 )
+
+# ---- label lines per view, for the evidence and merge queries ---------------------
+
+# Three inspections make one product with its front, back and side view.
+VIEW_FIELDS_SQL = """
+SELECT CAST(floor(inspection_id / 3) AS BIGINT) AS product_id,
+ CASE inspection_id % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE 'side' END AS view,
+ CASE WHEN inspection_id % 4 = 0 THEN '' WHEN inspection_id % 9 = 0 THEN 'Sold by Amul, India' ELSE 'Amul' END AS brand,
+ generic_name AS product_name, generic_name, net_quantity, mrp, mrp_inclusive_of_taxes, unit_sale_price,
+ manufacturer AS manufacturer_address, CAST(NULL AS {text}) AS packer, CAST(NULL AS {text}) AS importer,
+ consumer_care, mfg_date, best_before, use_by, country_of_origin,
+ coalesce(product_type, 'general') AS product_type, specific_product,
+ (product_type = 'food') AS is_food, (product_type = 'cosmetic') AS is_cosmetic,
+ (product_type = 'electronics') AS is_electronic, is_imported,
+ CASE WHEN best_before IS NOT NULL THEN true ELSE NULL END AS has_shelf_life
+FROM {label_fields}
+"""
+
+# The same views as printed lines; letter case and wording differ from the fields.
+LABEL_LINES_SQL = """
+SELECT CAST(floor(inspection_id / 3) AS BIGINT) AS product_id,
+ CASE inspection_id % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE 'side' END AS view,
+ CAST(line_no AS BIGINT) AS line_no,
+ CASE line_no WHEN 0 THEN 'AMUL  ' || upper(coalesce(generic_name, 'item'))
+  WHEN 1 THEN coalesce(mrp, 'M.R.P') || ' ' || coalesce(net_quantity, '')
+  WHEN 2 THEN 'Manufactured by ' || coalesce(manufacturer, 'Acme Foods') || ' Unit ' || coalesce(unit_sale_price, '')
+  WHEN 3 THEN 'Care: ' || coalesce(consumer_care, '') || ' Best ' || coalesce(best_before, '') || ' Mfd ' || mfg_date
+  ELSE coalesce(country_of_origin, ' ') END AS text,
+ CAST((inspection_id * 7 + line_no * 13) % 41 + 59 AS DOUBLE) / 100 AS confidence,
+ CAST(10 + line_no AS DOUBLE) AS x1, CAST(30 * line_no AS DOUBLE) + CAST(0.125 AS DOUBLE) AS y1,
+ CAST(200 + inspection_id % 50 AS DOUBLE) AS x2, CAST(30 * line_no + 20 AS DOUBLE) AS y2
+FROM (SELECT *, {five} AS line_no FROM {label_fields}) f
+"""
+
+DUCK_VIEWS = f"{DUCK_LABELS}, view_fields AS (" + VIEW_FIELDS_SQL.format(
+    label_fields="label_fields", text="VARCHAR") + ")"
+DUCK_LABEL_LINES = f"{DUCK_VIEWS}, label_lines AS (" + LABEL_LINES_SQL.format(
+    label_fields="label_fields", five="unnest([0, 1, 2, 3, 4])") + ")"
+
+
+def view_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted fields per product view."""
+    sql = VIEW_FIELDS_SQL.replace("{text}", "STRING")
+    return spark.sql(sql, label_fields=label_fields(spark, sf_dir))
+
+
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed lines per product view, with their polygon."""
+    sql = LABEL_LINES_SQL.replace("{five}", "explode(array(0, 1, 2, 3, 4))")
+    flat = spark.sql(sql, label_fields=label_fields(spark, sf_dir))
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    return flat.select("product_id", "view", "line_no", "text", "confidence", F.array(
+        corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"),
+    ).alias("polygon"))
+
+
+# Codes read on documents: data is the first word of a line or a constant.
+CODE_SCANS_SQL = """
+SELECT product_id, view, CASE (product_id + line_no) % 3 WHEN 0 THEN 'gray' WHEN 1 THEN 'equalised' ELSE 'original' END AS scan_pass,
+ CASE WHEN line_no % 2 = 0 THEN 'QRCODE' ELSE ' EAN13 ' END AS type,
+ CASE WHEN product_id % 2 = 0 THEN word ELSE '8901234567890' END AS data, CAST(line_no AS BIGINT) AS position
+FROM {first_words}
+"""
+DUCK_CODES = f"{DUCK_LINES}, code_scans AS (" + CODE_SCANS_SQL.format(
+    first_words="(SELECT *, split_part(text, ' ', 1) AS word FROM ocr_lines WHERE candidate = 'enhanced')") + ")"
+
+
+def code_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = ocr_lines(spark, sf_dir).filter("candidate = 'enhanced'").withColumn(
+        "word", F.split_part("text", F.lit(" "), F.lit(1)))
+    return spark.sql(CODE_SCANS_SQL, first_words=words)
