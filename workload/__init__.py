@@ -1,4 +1,7 @@
 """Registered queries over the driver tables, each beside its SQL twin."""
 
-from workload import field_checks, record_figures, rule_checks  # noqa: F401
+from workload import (  # noqa: F401
+    evidence_checks, field_checks, image_checks, record_figures, registry_checks, rule_checks,
+    stream_checks,
+)
 from workload.registry import ORACLES, QUERIES  # noqa: F401
