@@ -24,16 +24,18 @@ OFFICER_DEFAULTS = {
 
 def officer_info(users: DataFrame) -> DataFrame:
     """Officer columns of a user table; the e-mail stands in for a missing officer id."""
-    gap = F.lit("")
+    def filled(name: str) -> Column:
+        return F.coalesce(tx.empty_to_null(F.col(name)), F.lit(""))
+
     return users.select(
         F.col("user_id").alias("officer_user_id"),
         F.col("email").alias("officer_email"),
         tx.first_value(
             F.col("officer_id"), F.coalesce(F.col("email"), F.lit("UNKNOWN"))
         ).alias("officer_id"),
-        tx.first_value(F.col("full_name"), gap).alias("officer_name"),
-        tx.first_value(F.col("department"), gap).alias("department"),
-        tx.first_value(F.col("role"), gap).alias("role"),
+        filled("full_name").alias("officer_name"),
+        filled("department").alias("department"),
+        filled("role").alias("role"),
     )
 
 
@@ -44,7 +46,8 @@ def to_records(results: DataFrame, officers: DataFrame, fallback_id: str = "job_
     joined = results.join(officers, "officer_user_id", "left")
     present = [f for f in fields if f in results.columns]
     filled = {
-        name: tx.first_value(F.col(name), F.lit(default)) if name in own else F.lit(default)
+        name: F.coalesce(tx.empty_to_null(F.col(name)), F.lit(default)) if name in own
+        else F.lit(default)
         for name, default in OFFICER_DEFAULTS.items()
     }
     product = [F.col(c) for c in ("product_id", fallback_id) if c in results.columns]

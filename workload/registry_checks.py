@@ -158,8 +158,11 @@ def rg_ai_payload(spark, sf_dir):
 
 
 def _violations(spark, sf_dir):
-    return rg.explode_violations(scored_labels(spark, sf_dir), "inspection_id").select(
-        "inspection_id", "number", "v.rule_id", "v.field", "v.suggestion")
+    """Violations as a written table: fixes join them several times over."""
+    path = new_folder(spark, "violations")
+    rg.explode_violations(scored_labels(spark, sf_dir), "inspection_id").select(
+        "inspection_id", "number", "v.rule_id", "v.field", "v.suggestion").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _fixes(spark, sf_dir):
