@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packwise.functions import text as tx
@@ -137,10 +137,9 @@ def label_counts(records: DataFrame) -> DataFrame:
 def top_labels(records: DataFrame, n: int = 8) -> DataFrame:
     """Most frequent labels with their share of the largest count."""
     counts = label_counts(records).orderBy(F.desc("count"), "name").limit(n)
-    largest = counts.agg(F.max("count").alias("_max"))
-    return counts.join(F.broadcast(largest), F.lit(True)).select(
-        "name", "count", (F.col("count") * 100.0 / F.col("_max")).alias("share")
-    )
+    # The window sees the n rows that are left, nothing more.
+    largest = F.max("count").over(Window.partitionBy(F.lit(1)))
+    return counts.withColumn("share", F.col("count") * 100.0 / largest)
 
 
 def category_of(fields: str = "extracted_fields") -> Column:
