@@ -107,3 +107,13 @@ def lookup(key: Column, pairs: dict[str, str]) -> Column:
     """Literal map lookup that keeps unknown keys."""
     entries = [F.lit(x) for kv in pairs.items() for x in kv]
     return F.coalesce(F.try_element_at(F.create_map(*entries), key), key)
+
+
+# Zeros of the decimal digits of other scripts, each the first of ten in a row.
+ZEROS = ("٠", "۰", "߀", "०", "০", "੦", "૦", "୦", "௦", "౦", "೦", "൦", "๐", "໐", "༠", "၀", "０")
+_DIGITS = "".join(chr(ord(zero) + i) for zero in ZEROS for i in range(10))
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of other scripts as those of ASCII."""
+    return F.translate(text, _DIGITS, "0123456789" * len(ZEROS))

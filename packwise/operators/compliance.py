@@ -354,7 +354,7 @@ def quantity_digits(text: Column) -> Column:
 def qty_format() -> Column:
     quantity, digits = F.col("net_quantity"), F.col("quantity_digits")
     given, readable = tx.is_filled(quantity), digits.isNotNull()
-    value = F.translate(digits, ",", ".").try_cast("double")
+    value = tx.ascii_digits(F.translate(digits, ",", ".")).try_cast("double")
     return _found(
         when_violated(given & ~readable, violation(
             rule_id="QTY_001", field="net_quantity", severity="high",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from packwise.functions import geometry as g
 from packwise.functions import text as tx
@@ -33,127 +35,139 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 
 # ---- spatial deduplication -----------------------------------------------------
 
-def _bands(boxes: DataFrame, keys: list[str], low: str, high: str, name: str) -> DataFrame:
-    """Number the groups of boxes whose centres are near along one axis.
-
-    Two boxes with IoU >= 0.5 share at least (a + b) / 3 of their sides a and b, so their
-    centres are at most (a + b) / 6 apart. Boxes in different bands are never duplicates.
-    """
-    centre, reach = (F.col(low) + F.col(high)) / 2, (F.col(high) - F.col(low)) * 0.17
-    ordered = Window.partitionBy(*keys).orderBy("_from", "_to")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.coalesce(F.col("_from") > F.max("_to").over(before), F.lit(True))
-    return (
-        boxes.withColumns({"_from": centre - reach, "_to": centre + reach})
-        .withColumn("_starts", starts.cast("int"))
-        .withColumn(name, F.sum("_starts").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_from", "_to", "_starts")
-    )
-
-
 def merge_lines(lines: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Greedy spatial deduplication in line order.
 
     A line repeats the first kept line with the same text key and IoU >= 0.5; if its
-    confidence is higher it takes that line's place. ``order`` is a numeric column; the
+    confidence is higher it takes that line's place. The box is that of ``polygon``, or of
+    the corner list ``box`` where there is no polygon. ``order`` is a numeric column; the
     result has the kept lines' columns and ``position``, the order of the first sighting.
 
-    Copies are collapsed before any shuffle: boxes are aggregated first, split into bands
-    that cannot interact, and a band in which every pair overlaps enough is settled by
-    aggregates alone. Only bands that form longer chains are folded line by line, sorted
-    inside a partition and streamed, so no group is held in memory.
+    Lines move once, to their (keys, text key); null keys are keys too. A partition is sorted
+    and folded in one pass: only the kept lines of one group are held, and a spatial index
+    brings a line together with its neighbours alone, however often a text repeats. The rule
+    is sequential within a group, so one group is one task's work, linear in its lines.
     """
-    keys = list(keys)
     columns = lines.columns
-    tagged = (
+    text_key = tx.normalize_key(F.col("text"))
+    parts = [*[F.col(k) for k in keys], text_key]
+    marks = [p.isNull() for p in parts]  # hashes skip nulls
+    ready = (
         lines.filter(tx.has_text(F.col("text")))
         .withColumns({
-            "_line": F.struct(*columns),
-            "_key": tx.normalize_key(F.col("text")),
+            "_a": F.xxhash64(*parts, *marks), "_b": F.xxhash64(F.lit(1), *parts, *marks),
             "_order": F.col(order).cast("bigint"),
-            "_confidence": F.coalesce(F.col("confidence"), F.lit(0.0)),
-            "_box": g.box_of(F.col("polygon")),
+            "_confidence": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)),
+            "_corners": _corners(columns),
         })
-        .select(*keys, "_key", "_order", "_confidence", "_line", "_box")
-    )
-    loose = tagged.filter("_box is null").select("_line", F.col("_order").alias("position"))
-
-    group = [*keys, "_key"]
-    placed = tagged.filter("_box is not null").select(
-        *group, *[F.col(f"_box.{c}").alias(c) for c in g.CORNERS],
-        "_order", "_confidence", "_line",
-    )
-    rank = F.struct(F.col("_confidence"), (-F.col("_order")).alias("o"))
-    boxes = placed.groupBy(*group, *g.CORNERS).agg(
-        F.min("_order").alias("position"),
-        F.max_by("_line", rank).alias("_line"),
-        F.max(rank).alias("_rank"),
-    )
-    banded = _bands(_bands(boxes, group, "y1", "y2", "_row"), [*group, "_row"], "x1", "x2", "_part")
-
-    part = [*group, "_row", "_part"]
-    settled = banded.groupBy(*part).agg(
-        F.min("position").alias("position"),
-        F.max_by("_line", "_rank").alias("_line"),
-        ((F.min("x2") - F.max("x1"))).alias("_w"), (F.min("y2") - F.max("y1")).alias("_h"),
-        ((F.max("x2") - F.min("x1")) * (F.max("y2") - F.min("y1"))).alias("_outer"),
-        F.count("*").alias("_boxes"),
-    ).withColumn(
-        "_all_same",
-        (F.col("_boxes") == 1)
-        | ((F.col("_w") > 0) & (F.col("_h") > 0)
-           & (F.col("_w") * F.col("_h") >= SAME_LINE_IOU * F.col("_outer"))),
-    )
-    simple = settled.filter("_all_same").select("_line", "position")
-
-    chained = banded.join(settled.filter("not _all_same").select(*part), part, "left_semi")
-    line_type = lines.select(F.struct(*columns).alias("_line")).schema["_line"].dataType
-    folded = _fold_chains(
-        placed.join(chained.select(*part, *g.CORNERS), [*group, *g.CORNERS]), part
-    ).select(F.from_json("_json", line_type).alias("_line"), "position")
-
-    return simple.unionByName(folded).unionByName(loose).select("_line.*", "position")
-
-
-def _fold_chains(lines: DataFrame, part: list[str]) -> DataFrame:
-    """The line-by-line rule over sorted partitions; state is one band's kept lines."""
-    ready = (
-        lines.withColumns({
-            "_json": F.to_json("_line", {"ignoreNullFields": "false"}),
-            "_part_key": F.to_json(F.struct(*part)),
-        })
-        .select("_part_key", "_order", "_confidence", *g.CORNERS, "_json")
-        .repartition("_part_key")
-        .sortWithinPartitions("_part_key", "_order")
+        .repartition("_a", "_b")
+        .sortWithinPartitions("_a", "_b", "_order")
     )
+    schema = StructType([*lines.schema.fields, StructField("position", LongType())])
+    return ready.mapInArrow(_folder(columns), schema)
+
+
+def _corners(columns: Sequence[str]) -> Column:
+    """Box of the polygon as four numbers, else that of the corner list; null if unusable."""
+    box = F.lit(None).cast("array<double>")
+    if "box" in columns:
+        pairs = F.when(F.size("box") == 4, F.array(
+            F.slice(F.col("box"), 1, 2), F.slice(F.col("box"), 3, 2)))
+        flat = g.box_of(pairs)
+        box = F.when(flat.isNotNull(), F.array(*[flat[c] for c in g.CORNERS]))
+    if "polygon" in columns:
+        shape = g.box_of(F.col("polygon"))
+        own = F.when(shape.isNotNull(), F.array(*[shape[c] for c in g.CORNERS]))
+        box = F.when(F.size("polygon") > 0, own).otherwise(box)
+    return box
+
+
+class _Kept:
+    """Kept lines of one group, indexed by the height class and the middle of their boxes.
+
+    Boxes with IoU >= 0.5 share at least (a + b) / 3 of their heights a and b, so heights
+    differ by a factor of two at most and middles by half of either height.
+    """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, []  # kept: [position, confidence, box, json]
+    def __init__(self) -> None:
+        self.lines: list[list] = []  # position, confidence, box, where the line is
+        self.cells: dict[tuple[int, int], list[int]] = {}
+
+    @staticmethod
+    def _cell(box) -> tuple[int, int]:
+        size = math.frexp(box[3] - box[1])[1]
+        return size, math.floor(math.ldexp((box[1] + box[3]) / 2, -size))
+
+    def _near(self, box) -> list[int]:
+        height, middle = box[3] - box[1], (box[1] + box[3]) / 2
+        size, reach = math.frexp(height)[1], 0.501 * height
+        found: list[int] = []
+        for k in (size - 1, size, size + 1):
+            low, high = (math.floor(math.ldexp(middle + d, -k)) for d in (-reach, reach))
+            for cell in range(low, high + 1):
+                found += self.cells.get((k, cell), ())
+        return sorted(found)
+
+    def add(self, position: int, confidence: float, box, where) -> None:
+        if box is not None:
+            for i in self._near(box):
+                line = self.lines[i]
+                if _overlap(box, line[2]) >= SAME_LINE_IOU:
+                    if confidence > line[1]:
+                        self.cells[self._cell(line[2])].remove(i)
+                        self.cells.setdefault(self._cell(box), []).append(i)
+                        line[1:] = [confidence, box, where]
+                    return
+            self.cells.setdefault(self._cell(box), []).append(len(self.lines))
+        self.lines.append([position, confidence, box, where])
+
+
+def _folder(columns: list[str]):
+    """The line-by-line rule over batches that are sorted by group and order."""
+
+    def emit(source: pa.RecordBatch, rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        taken = source.take(pa.array([i for i, _ in rows], pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [*taken.columns, pa.array([p for _, p in rows], pa.int64())], [*columns, "position"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, kept, carried = None, _Kept(), None  # carried: kept lines of earlier batches
         for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False, name=None):
-                key, order, confidence, *box, text = row
-                if key != current:
-                    done += kept
-                    current, kept = key, []
-                for line in kept:
-                    if _overlap(box, line[2]) >= SAME_LINE_IOU:
-                        if confidence > line[1]:
-                            line[1:] = [confidence, box, text]
-                        break
-                else:
-                    kept.append([order, confidence, box, text])
-            yield _frame(done)
-        yield _frame(kept)
-
-    return ready.mapInPandas(fold, "_json string, position bigint")
-
-
-def _frame(kept: list) -> pd.DataFrame:
-    return pd.DataFrame({
-        "_json": pd.Series([k[3] for k in kept], dtype="object"),
-        "position": pd.Series([k[0] for k in kept], dtype="int64"),
-    })
+            plain = batch.select(columns)
+            here: list[tuple[int, int]] = []
+
+            def close():
+                here.extend((w[1], p) for p, _, _, w in kept.lines if w[0])
+                before = [(w[1], p) for p, _, _, w in kept.lines if not w[0]]
+                return emit(carried, before) if before else None
+
+            values = [batch.column(c).to_pylist() for c in ("_a", "_b", "_order", "_confidence", "_corners")]
+            for row, (a, b, order, confidence, box) in enumerate(zip(*values)):
+                if (a, b) != current:
+                    if (old := close()) is not None:
+                        yield old
+                    current, kept, carried = (a, b), _Kept(), None
+                kept.add(order, confidence, box, (True, row))
+            if here:
+                yield emit(plain, here)
+            # The open group goes on in the next batch: its kept lines alone stay in memory.
+            sources = [] if carried is None else [carried.take(
+                pa.array([w[1] for *_, w in kept.lines if not w[0]], pa.int64()))]
+            sources.append(plain.take(pa.array([w[1] for *_, w in kept.lines if w[0]], pa.int64())))
+            whole = pa.Table.from_batches(sources).combine_chunks().to_batches()
+            carried = whole[0] if whole else plain.slice(0, 0)
+            at = 0
+            for first in (False, True):
+                for line in kept.lines:
+                    if line[3][0] is first and len(line[3]) == 2:
+                        line[3] = (first, at, None)
+                        at += 1
+            for line in kept.lines:
+                line[3] = (False, line[3][1])
+        if kept.lines:
+            yield emit(carried, [(w[1], p) for p, _, _, w in kept.lines])
+
+    return fold
 
 
 def _overlap(a, b) -> float:
@@ -212,12 +226,23 @@ def visual_lines(merged: DataFrame, candidates: Sequence[str] = CANDIDATES) -> D
 
 
 def rescale_boxes(lines: DataFrame, views: DataFrame) -> DataFrame:
-    """Polygons in original pixels; ``views`` has processed and original dimensions."""
-    mapped = g.rescaled(F.col("polygon"), F.col("processed"), F.col("original"))
+    """Polygons in original pixels, and their boxes; ``views`` has processed and original dimensions.
+
+    A line without polygon keeps its corner list ``box``, mapped likewise. Where a dimension is
+    unknown, polygon and box stay as they are.
+    """
+    processed, original = F.col("processed"), F.col("original")
+    mapped = g.rescaled(F.col("polygon"), processed, original)
+    shaped = F.size("polygon") > 0
+    box = g.rounded_box(mapped)
+    if "box" in lines.columns:
+        old = F.col("box")
+        corners = F.array(F.slice(old, 1, 2), F.slice(old, 3, 2))
+        flat = F.when(F.size(old) == 4, F.flatten(g.rescaled(corners, processed, original))).otherwise(old)
+        box = F.when(shaped, F.coalesce(F.when(g.known_sizes(processed, original), box), old, box)).otherwise(flat)
     return (
         lines.join(views.select(*VIEW_KEYS, "processed", "original"), list(VIEW_KEYS), "left")
-        .withColumn("polygon", mapped)
-        .withColumn("box", g.rounded_box(F.col("polygon")))
+        .withColumns({"polygon": mapped, "box": box})
         .drop("processed", "original")
     )
 

@@ -106,12 +106,11 @@ def batch_rollup(manifest: DataFrame, views: DataFrame) -> DataFrame:
     """Images, views and failures per product; a failed view does not stop the others.
 
     ``manifest`` has one row per expected (product_id, view), ``views`` the processed ones
-    with an optional ``error``.
+    with an optional ``error``; of several errors of one view the alphabetically first is told.
     """
-    done = manifest.join(
-        views.select("product_id", "view", "error", F.lit(True).alias("_seen")),
-        ["product_id", "view"], "left",
-    )
+    seen = views.groupBy("product_id", "view").agg(F.min("error").alias("error"))
+    done = manifest.dropDuplicates(["product_id", "view"]).join(
+        seen.withColumn("_seen", F.lit(True)), ["product_id", "view"], "left")
     problem = F.when(F.col("_seen").isNull(), "not processed").otherwise(F.col("error"))
     failed = F.when(problem.isNotNull(), F.struct("view", problem.alias("error")))
     # A product has at most one row per view name.

@@ -37,18 +37,31 @@ UNIT_SYMBOLS = {
 }
 
 
+def _listed(text: Column) -> Column:
+    """The text as the one element of a JSON array, so that nothing may follow its value."""
+    return F.concat(F.lit("["), text, F.lit("\n]"))
+
+
+def _object(text: Column) -> Column:
+    """The map of a text that is one JSON object and nothing else, else null; the last of equal keys counts."""
+    parts = F.from_json(_listed(text), "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    whole = F.when((F.size(parts) == 1) & text.startswith("{") & text.endswith("}"), parts[0])
+    names = F.array_distinct(F.map_keys(whole))
+    last = F.transform(names, lambda k: F.element_at(
+        F.filter(F.map_entries(whole), lambda e: e["key"] == k), -1)["value"])
+    return F.when(F.size(names) < F.size(F.map_keys(whole)), F.map_from_arrays(names, last)).otherwise(whole)
+
+
 def reply_object(reply: Column) -> Column:
     """Reply text -> key/value map; null when no JSON object can be read.
 
-    Thinking blocks are dropped; text around the outermost braces is ignored.
+    Thinking blocks are dropped. A text that is JSON is taken as it is; else what stands from
+    the first to the last brace must be one object.
     """
     body = tx.strip(F.regexp_replace(tx.strip(reply), r"(?is)<think>.*?</think>", ""))
     span = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    whole = F.try_parse_json(body)
-    chosen = F.when(whole.isNotNull(), body).when(F.try_parse_json(span).isNotNull(), span)
-    return F.when(
-        tx.strip(chosen).startswith("{"), F.from_json(chosen, "map<string,string>")
-    )
+    other = ~body.startswith("{") & (F.json_array_length(_listed(body)) == 1)
+    return F.when(~F.coalesce(other, F.lit(False)), F.coalesce(_object(body), _object(span)))
 
 
 def parse_replies(df: DataFrame, reply: str) -> tuple[DataFrame, DataFrame]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def list_records(records: DataFrame, user_id: str | None, officer_id: str | None, role: str,
-                 cap: int | None = 500) -> DataFrame:
-    """Records a user may see, newest first; administrators see all of them."""
+                 limit: int | None = None) -> DataFrame:
+    """Records a user may see, newest first; administrators see all of them. A page is asked for by ``limit``."""
     visible = records
     if user_id and role.strip().lower() != "admin":
         own = F.col("officer_user_id") == user_id
@@ -16,7 +16,7 @@ def list_records(records: DataFrame, user_id: str | None, officer_id: str | None
             own = own | (F.col("officer_id") == officer_id)
         visible = records.filter(own)
     ordered = visible.orderBy(F.desc("created_at"), "id")
-    return ordered if cap is None else ordered.limit(cap)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def write_records(records: DataFrame, path: str) -> None:

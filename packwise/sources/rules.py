@@ -14,8 +14,8 @@ from packwise.sources import rulebook
 
 SEVERITIES = ("high", "medium", "low", "info")
 
-# Rule tables up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 10_000
+# Rule tables go to every task; one of more bytes (as JSON) than this is refused at load.
+RULE_BYTES = 64 << 20
 
 REQUIRED_DDL = (
     "array<struct<field:string,severity:string,label:string,"
@@ -48,14 +48,11 @@ class RuleSet:
     fields: dict[str, tuple[str, ...]]  # fields named by required, extra and custom rules
     longest: dict[str, int]  # rule list column -> entries in its longest row
 
-    def sized(self, table: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
     def category_side(self) -> DataFrame:
-        return self.sized(self.categories, len(self.category_names))
+        return F.broadcast(self.categories)
 
     def product_side(self) -> DataFrame:
-        return self.sized(self.products, len(self.product_names))
+        return F.broadcast(self.products)
 
 
 def _severity(value, where: str, default: str) -> str:
@@ -154,13 +151,18 @@ def compile_rules(
     """Check the rule facts once and turn them into join tables."""
     cat_rows = []
     for key, r in categories.items():
+        if not r:  # an empty file: the type is known, but nothing applies to it
+            continue
         exempted = list(r.get("exempted") or [])
         required = [x for x in _required(r, key) if x[0] not in exempted]
         cat_rows.append((key, required, exempted, _checks(r, key)))
     prod_rows = [
         (key, _extra(r, key), list(r.get("exempted") or []), _checks(r, key))
-        for key, r in products.items()
+        for key, r in products.items() if r
     ]
+    for name, rows in (("category", cat_rows), ("product", prod_rows)):
+        if (size := len(json.dumps(rows))) > RULE_BYTES:
+            raise ValueError(f"the {name} rules take {size} bytes; at most {RULE_BYTES} can go to every task")
     lists = {
         "required": [r[1] for r in cat_rows], "cat_checks": [r[3] for r in cat_rows],
         "extra_mandatory": [r[1] for r in prod_rows], "prod_checks": [r[3] for r in prod_rows],

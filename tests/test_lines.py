@@ -89,3 +89,76 @@ def test_image_quality_of_a_flat_and_a_striped_image(spark):
     assert (out["flat"]["brightness"], out["flat"]["contrast"], out["flat"]["blur_score"]) == (100.0, 0.0, 0.0)
     assert out["striped"]["brightness"] == 100.0 and out["striped"]["contrast"] == 100.0
     assert out["striped"]["blur_score"] == 160000.0 and out["striped"]["is_noisy"]
+
+
+def test_merge_of_null_keys_boxes_without_polygon_and_timestamps(spark):
+    """Null keys are keys, a corner list stands in for a polygon, columns come back as they were."""
+    square = [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0]]
+    near = [[1.0, 0.0], [11.0, 0.0], [11.0, 10.0], [1.0, 10.0]]
+    rows = [(None, 0, "MRP", 0.5, square, None), (None, 1, "mrp", 0.9, near, None), (None, 2, "MRP", 0.7, None, None),
+            ("back", 0, "MRP", 0.6, None, [0.0, 0.0, 9.0, 9.0]), ("back", 1, "MRP", 0.6, None, [0.0, 0.0, 9.0, 9.0]),
+            ("back", 2, "MRP", 0.6, [], [100.0, 0.0, 109.0, 9.0])]
+    df = spark.createDataFrame(
+        rows, "view string, line_no int, text string, confidence double, polygon array<array<double>>, box array<double>"
+    ).withColumn("seen", F.expr("timestamp'2024-01-31 10:00:00.123456'"))
+    got = ev.merge_lines(df, ("view",), "line_no")
+    assert sorted((r["view"] or "", r["line_no"], r["position"]) for r in got.collect()) == [
+        ("", 1, 0), ("", 2, 2), ("back", 0, 0), ("back", 2, 2)]
+    assert got.where("seen <> timestamp'2024-01-31 10:00:00.123456'").count() == 0 and got.columns == [*df.columns, "position"]
+
+
+def test_merge_of_one_hot_text_over_many_batches(spark):
+    """A repeating junk line with drifting boxes, in Arrow batches of a few rows."""
+    rng = random.Random(11)
+    plain, rows = [], []
+    for seq in range(1500):
+        x, y = rng.randint(0, 60), rng.randint(0, 900)
+        box = (float(x), float(y), float(x + rng.choice((20, 40))), float(y + rng.choice((8, 12, 20))))
+        confidence = rng.randint(1, 99) / 100
+        plain.append((seq, "junk", confidence, box))
+        rows.append((1, "front", seq, "junk", confidence, [[box[0], box[1]], [box[2], box[3]]]))
+    df = spark.createDataFrame(
+        rows, "product_id int, view string, line_no int, text string, confidence double, polygon array<array<double>>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = ev.merge_lines(df, ("product_id", "view"), "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["position"], r["line_no"]) for r in got) == brute(plain)
+
+
+def test_rescale_keeps_a_box_without_polygon(spark):
+    rows = [("front", None, [10.0, 10.0, 20.0, 20.0]), ("front", [[1.0, 1.0], [3.0, 5.0]], [0.0, 0.0, 9.0, 9.0]),
+            ("back", None, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, "view string, polygon array<array<double>>, box array<double>").withColumn(
+        "product_id", F.lit(1))
+    size = "struct<width:int,height:int>"
+    views = spark.createDataFrame([(1, "front", (100, 100), (200, 300)), (1, "back", None, None)],
+                                  f"product_id int, view string, processed {size}, original {size}")
+    got = ev.rescale_boxes(df, views).select("view", "box").collect()
+    assert sorted((r["view"], r["box"]) for r in got) == [
+        ("back", [1.0, 2.0, 3.0, 4.0]), ("front", [2.0, 3.0, 6.0, 15.0]), ("front", [20.0, 30.0, 40.0, 60.0])]
+
+
+def test_replies_whole_or_not_at_all(spark):
+    rows = ['{"a":1,"a":2}', '{"a":1} tail {"b":2}', 'see {"a": "x } y"} there', '[{"a":1}]', "{'a':1}", '{"a":1}]']
+    good, bad = rp.parse_replies(spark.createDataFrame([(r,) for r in rows], "reply string"), "reply")
+    assert {r["reply"]: r["parsed"] for r in good.collect()} == {
+        rows[0]: {"a": "2"}, rows[2]: {"a": "x } y"}, rows[5]: {"a": "1"}}
+    assert bad.count() == 3
+
+
+def test_rollup_of_a_view_with_two_errors(spark):
+    manifest = spark.createDataFrame([(1, "front"), (1, "back")], "product_id int, view string")
+    views = spark.createDataFrame([(1, "front", "blurred"), (1, "front", "absent"), (1, "back", None)],
+                                  "product_id int, view string, error string")
+    row = im.batch_rollup(manifest, views).first()
+    assert (row["num_images"], row["failed"], row["errors"]) == (2, 1, {"front": "absent"})
+
+
+def test_unreadable_field_files_are_quarantined(spark, tmp_path):
+    from packwise.sources import fields_json as fj
+    (tmp_path / "a.json").write_text('{"mrp": "20", "is_imported": "true"}\nnot json {\n')
+    good, bad = fj.read_fields(spark, str(tmp_path))
+    assert [(r["mrp"], r["is_imported"]) for r in good.collect()] == [("20", True)]
+    assert [r["record"] for r in bad.collect()] == ["not json {"] and bad.first()["source_file"].endswith("a.json")

@@ -118,3 +118,24 @@ def test_yaml_rule_folder(spark, tmp_path):
     assert rules.category_names == ("snack", "general")
     row = score(spark, [{**GOOD, "mrp": None, "product_type": "snack"}], rules)[0]
     assert ids(row) == ["PRESENCE_DIMENSIONS"] and row["score"] == 97.0
+
+
+def test_empty_rules_apply_nothing(spark):
+    """An empty file is a known type or product without rules: no layer, no check."""
+    rules = compile_rules(spark, {"general": {"product_type": "general", "mandatory": {"mrp": {}}}, "food": {}}, {"milk": {}})
+    bare, other = score(spark, [
+        {"product_type": "food", "specific_product": "milk"}, {"product_type": "toys", "specific_product": "tea"}], rules)
+    assert bare["layers_applied"] == ["universal"] and not any(i.startswith("PRESENCE") for i in ids(bare))
+    assert other["layers_applied"] == ["universal", "category:toys"] and "PRESENCE_MRP" in ids(other)
+
+
+def test_zero_of_another_script_is_zero(spark):
+    arabic, latin = score(spark, [{**GOOD, "net_quantity": "٠ g"}, {**GOOD, "net_quantity": "0 g"}])
+    assert "QTY_002" in ids(latin) and "QTY_002" in ids(arabic)
+
+
+def test_too_large_rules_are_refused(spark, monkeypatch):
+    from packwise.sources import rules as module
+    monkeypatch.setattr(module, "RULE_BYTES", 10)
+    with pytest.raises(ValueError, match="rules take"):
+        load_rules(spark)

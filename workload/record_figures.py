@@ -191,7 +191,7 @@ def an_confidence_band(spark, sf_dir):
 
 
 @query("src_records", R + """SELECT id, created_at, officer_id, confidence_score FROM records
-WHERE officer_user_id = 'user8' OR officer_id = 'OFC-9' ORDER BY created_at DESC, id LIMIT 500""")
+WHERE officer_user_id = 'user8' OR officer_id = 'OFC-9'""")
 def src_records(spark, sf_dir):
     return rec.list_records(records(spark, sf_dir), "user8", "OFC-9", "officer").select(
         "id", "created_at", "officer_id", "confidence_score")

@@ -288,11 +288,24 @@ def src_fields_json(spark, sf_dir):
         F.concat(F.lit("p"), F.col("officer_no").cast("string")).alias("product_folder"),
         "inspection_id", "mrp", "net_quantity", "is_imported", "mrp_confidence")
     fields_json.write_json(out, path)
-    read = fields_json.read_fields(spark, path, extra="inspection_id bigint")
+    read, _ = fields_json.read_fields(spark, path, extra="inspection_id bigint")
     latest = fields_json.latest_per_folder(read.withColumn("modified", F.col("inspection_id")))
     return latest.select("product_folder", "mrp", "net_quantity", "is_imported")
 
 
+@query("src_fields_quarantine", f"""WITH {DUCK_LABELS} SELECT sha256('broken {{' || inspection_id) AS record, 1 AS files
+ FROM label_fields WHERE inspection_id % 7 = 0""")
+def src_fields_quarantine(spark, sf_dir):
+    """Records that are no JSON, among field files: they come out aside, as they are."""
+    path = new_folder(spark, "fields")
+    whole = F.to_json(F.struct("inspection_id", "mrp", "net_quantity"))
+    broken = F.concat(F.lit("broken {"), F.col("inspection_id").cast("string"))
+    label_fields(spark, sf_dir).select(
+        F.when(F.col("inspection_id") % 7 == 0, broken).otherwise(whole).alias("value")).write.text(path)
+    _, bad = fields_json.read_fields(spark, path)
+    return bad.groupBy(F.sha2("record", 256).alias("record")).agg(F.count_distinct("source_file").alias("files"))
+
+
 @query("sink_result_json", f"""WITH {DUCK_RESULT} SELECT inspection_id, score, summary, n AS violations FROM result""")
 def sink_result_json(spark, sf_dir):
     path = new_folder(spark, "results")
