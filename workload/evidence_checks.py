@@ -210,25 +210,29 @@ _LONG = " UNION ALL ".join(
     for f in TEXT_FIELDS)
 _V = "trim(regexp_replace(lower(value), '\\s+', ' ', 'g'))"
 _T = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
-_VW = f"list_distinct(regexp_extract_all({_V}, '[a-z0-9]+'))"
-_TW = f"list_distinct(regexp_extract_all({_T}, '[a-z0-9]+'))"
-_SCORED = f"""{DUCK_LABEL_LINES}, fv AS ({_LONG}), scored AS (SELECT f.product_id, f."view", f.field, l.line_no, trim(l.text) AS text,
- l.confidence, l.x1, l.y1, l.x2, l.y2, CASE WHEN contains({_T}, {_V}) THEN 1.0::DOUBLE WHEN len({_VW}) = 0 THEN 0
-  ELSE len(list_intersect({_VW}, {_TW}))::DOUBLE / len({_VW}) END AS sim
- FROM fv f JOIN label_lines l ON l.product_id = f.product_id AND l."view" = f."view" WHERE trim(l.text) <> ''),
+# Values and lines are tokenised once each, before they meet.
+_WORDS = "list_distinct(regexp_extract_all({}, '[a-z0-9]+'))"
+_SCORED = f"""{DUCK_LABEL_LINES}, fv AS MATERIALIZED (SELECT *, {_WORDS.format('v')} AS vw FROM (SELECT *, {_V} AS v FROM ({_LONG}))),
+ll AS MATERIALIZED (SELECT *, {_WORDS.format('t')} AS tw FROM (SELECT *, {_T} AS t FROM label_lines WHERE trim(text) <> '')),
+scored AS (SELECT f.product_id, f."view", f.field, l.line_no, trim(l.text) AS text,
+ l.confidence, l.x1, l.y1, l.x2, l.y2, CASE WHEN contains(t, v) THEN 1.0::DOUBLE WHEN len(vw) = 0 THEN 0
+  ELSE len(list_intersect(vw, tw))::DOUBLE / len(vw) END AS sim
+ FROM fv f JOIN ll l ON l.product_id = f.product_id AND l."view" = f."view"),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, "view", field ORDER BY sim DESC, confidence DESC, line_no) AS rn
  FROM scored WHERE sim > 0) WHERE rn = 1)"""
 _CONF = "CAST(format('{:.3f}', greatest(0, least(1, confidence * (0.7::DOUBLE + 0.3::DOUBLE * sim)))) AS DOUBLE)"
 
 
-@query("fv_similarity", f"""WITH {_SCORED} SELECT product_id, "view", line_no, round(sim, 9) AS similarity FROM scored
-WHERE field = 'consumer_care'""")
+@query("fv_similarity", f"""WITH {_SCORED} SELECT product_id, "view", field, line_no, round(sim, 9) AS similarity FROM scored""")
 def fv_similarity(spark, sf_dir):
+    """Every filled text field against every line of its view."""
     keys = ["product_id", "view"]
-    both = label_lines(spark, sf_dir).filter(tx.has_text(F.col("text"))).join(
-        view_fields(spark, sf_dir).select(*keys, "consumer_care").filter("consumer_care is not null"), keys)
-    return both.select(*keys, "line_no", F.round(
-        vm.similarity(F.col("consumer_care"), F.col("text")), 9).alias("similarity"))
+    filled = view_fields(spark, sf_dir).select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in TEXT_FIELDS])).alias("f"))
+    filled = filled.select(*keys, "f.field", "f.value").filter(tx.has_text(F.col("value")))
+    both = label_lines(spark, sf_dir).filter(tx.has_text(F.col("text"))).join(filled, keys)
+    return both.select(*keys, "field", "line_no", F.round(
+        vm.similarity(F.col("value"), F.col("text")), 9).alias("similarity"))
 
 
 @query("fv_best_line", f"""WITH {_SCORED} SELECT product_id, "view", field, line_no, text, confidence,
