@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packwise.operators.registry import upsert
+
 
 def list_records(records: DataFrame, user_id: str | None, officer_id: str | None, role: str,
                  limit: int | None = None) -> DataFrame:
@@ -30,3 +32,15 @@ def read_records(spark: SparkSession, path: str, since: str | None = None) -> Da
     """Stored records; ``since`` prunes whole days."""
     stored = spark.read.parquet(path)
     return stored if since is None else stored.filter(F.col("dt") >= F.lit(since).cast("date"))
+
+
+def upsert_records(spark: SparkSession, path: str, updates: DataFrame) -> None:
+    """Replace the result columns of the stored records that ``updates`` names.
+
+    Only the days of the updated records are read and written again; ``updates`` has the
+    records' ids and creation times. The list of days is the one thing that is gathered.
+    """
+    days = [r[0] for r in updates.select(F.to_date("created_at")).distinct().collect()]
+    touched = read_records(spark, path).filter(F.col("dt").isin(days))
+    upsert(touched, updates).write.partitionBy("dt").mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").parquet(path)

@@ -9,14 +9,21 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local session may use a temporary folder."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting, as in tests, gets a folder of its own; the
+    session's settings stay as they are.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="packwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    folder = getattr(context, "_packwise_folder", None)
+    if folder is None:
+        folder = context._packwise_folder = tempfile.mkdtemp(prefix="packwise-")
+        context.setCheckpointDir(folder)
     return folder
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from packwise.operators.compliance import check
 from packwise.sources.rules import RuleSet
@@ -16,7 +17,10 @@ def score_stream(labels: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def daily_stream(records: DataFrame, late: str = "1 day") -> DataFrame:
-    """Inspections and compliant ones per day and category; very late rows are dropped."""
+    """Inspections and compliant ones per day and category, for update mode.
+
+    Rows later than the watermark are dropped, and so is the state of days before it.
+    """
     timed = records.withColumn("created_at", F.col("created_at").cast("timestamp"))
     return (
         timed.withWatermark("created_at", late)
@@ -32,20 +36,25 @@ def dedup_stream(records: DataFrame, key: str = "inspection_id", late: str = "1
     return timed.withWatermark("created_at", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Drain what has arrived into a parquet table and read it back.
 
-    ``complete`` results go through ``foreachBatch``, which rewrites the table.
+    With ``keys``, the stream brings a key's newest figures again and again (update mode): each
+    batch's changed rows replace the folder of that batch, so a batch that is run again writes
+    nothing twice, and a key's row of the latest batch counts.
     """
     spark = stream.sparkSession
     target, checkpoint = new_folder(spark, name), new_folder(spark, f"{name}-state")
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        job = writer.format("parquet").option("path", target).outputMode("append").start()
-    else:
-        def rewrite(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(target)
-
-        job = writer.foreachBatch(rewrite).outputMode(mode).start()
-    job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    if not keys:
+        writer.format("parquet").option("path", target).outputMode("append").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(target)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{target}/batch=-1")
+    writer.foreachBatch(write).outputMode("update").start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(target)
+    row = F.struct(*stream.columns)
+    return rows.groupBy(*keys).agg(F.max_by(row, "batch").alias("row")).select("row.*")

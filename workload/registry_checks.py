@@ -8,6 +8,7 @@ from packwise.operators import analytics, registry as rg, report as rp
 from packwise.schemas import LABEL_FIELDS
 from packwise.sources import fields_json, images as img, manifest
 from packwise.sources.rules import load_rules
+from packwise.sources import records as rec
 from packwise.sources.storage import new_folder
 from workload.image_checks import DUCK_IMAGES, images
 from workload.inputs import DUCK_LABELS, DUCK_VIEWS, label_fields, table, view_fields
@@ -133,12 +134,15 @@ def rg_record(spark, sf_dir):
  CASE WHEN is_imported THEN 100 ELSE score END AS confidence_score, CASE WHEN is_imported THEN 'corrected' ELSE summary END AS summary,
  CASE WHEN is_imported THEN 0 ELSE n END AS violations FROM result""")
 def rg_upsert(spark, sf_dir):
-    """Imported goods were corrected: their eight result columns are replaced."""
-    records = _records(spark, sf_dir)
-    updates = records.filter("extracted_fields.is_imported").withColumns({
+    """Imported goods were corrected: their eight result columns are replaced in the stored registry."""
+    path = new_folder(spark, "registry")
+    rec.write_records(_records(spark, sf_dir), path)
+    stored = rec.read_records(spark, path)
+    updates = stored.filter("extracted_fields.is_imported").withColumns({
         "is_compliant": F.lit(True), "confidence_score": F.lit(100.0), "summary": F.lit("corrected"),
         "violations": F.slice("violations", 1, 0)})
-    return rg.upsert(records, updates).select(
+    rec.upsert_records(spark, path, updates)
+    return rec.read_records(spark, path).select(
         "id", "is_compliant", "confidence_score", "summary",
         F.size("violations").cast("bigint").alias("violations"))
 

@@ -13,14 +13,14 @@ from workload.rule_checks import DUCK_RESULT
 
 
 def _arriving(spark, sf_dir, columns=None, copies: int = 1):
-    """Label rows as files in a folder, read as a stream."""
+    """Label rows as files in a folder, read as a stream of one batch for each copy."""
     labels = label_fields(spark, sf_dir)
     labels = labels.select(*columns) if columns else labels
-    if copies > 1:
-        labels = labels.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
     path = new_folder(spark, "arriving")
-    labels.write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    for _ in range(copies):
+        labels.repartition(4).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(labels.schema)
+    return (stream.option("maxFilesPerTrigger", 4) if copies > 1 else stream).parquet(path)
 
 
 @query("st_score", f"""WITH {DUCK_RESULT} SELECT inspection_id, score, is_compliant, summary, n AS violations FROM result""")
@@ -35,11 +35,11 @@ def st_score(spark, sf_dir):
  count(*) FILTER (is_imported) AS compliant FROM label_fields GROUP BY 1, 2""")
 def st_daily(spark, sf_dir):
     stream = _arriving(spark, sf_dir, ["created_at", "product_type", F.col("is_imported").alias("is_compliant")])
-    return jobs.run_to_table(jobs.daily_stream(stream), "daily", mode="complete")
+    return jobs.run_to_table(jobs.daily_stream(stream), "daily", keys=("day", "product_type"))
 
 
 @query("st_dedup", f"WITH {DUCK_LABELS} SELECT inspection_id, created_at FROM label_fields")
 def st_dedup(spark, sf_dir):
-    """Every inspection arrives twice and is kept once."""
+    """Every inspection arrives in two batches and is kept once."""
     stream = _arriving(spark, sf_dir, ["inspection_id", "created_at"], copies=2)
     return jobs.run_to_table(jobs.dedup_stream(stream, late="40 days"), "unique")
