@@ -51,3 +51,23 @@ def test_repeats_in_a_later_batch_are_dropped(spark):
     batches = [[("2024-01-01 10:00:00", 1), ("2024-01-01 11:00:00", 2)], [("2024-01-01 10:30:00", 1), ("2024-01-01 12:00:00", 3)]]
     got = jobs.run_to_table(jobs.dedup_stream(_stream(spark, batches, ddl)), "unique")
     assert sorted(r["inspection_id"] for r in got.collect()) == [1, 2, 3]
+
+
+def test_whole_inspection_of_readable_and_unreadable_products(spark):
+    from packwise.plans.inspection import inspect_products
+    from packwise.sources.rules import load_rules
+    text = ["Amul Butter", "Net Qty: 100 g", "MRP Rs. 50 incl. of all taxes", "Manufactured by: Acme Foods, Plot 4, Pune"]
+    rows = [(1, "front", "enhanced", n, t, 0.9, [[0.0, 20.0 * n], [90.0, 20.0 * n + 15]]) for n, t in enumerate(text)]
+    rows += [(1, "front", "original", n, t, 0.8, [[1.0, 20.0 * n], [91.0, 20.0 * n + 15]]) for n, t in enumerate(text)]
+    rows += [(2, "front", "enhanced", 0, "   ", 0.9, None)]
+    lines = spark.createDataFrame(rows, "product_id int, view string, candidate string, line_no int, text string, "
+                                        "confidence double, polygon array<array<double>>")
+    codes = spark.createDataFrame([(1, "front", "original", "EAN13", "plot", 0)],
+                                  "product_id int, view string, scan_pass string, type string, data string, position long")
+    products = spark.createDataFrame([(1,), (2,), (3,)], "product_id int")
+    results, unusable = inspect_products(products, lines, load_rules(spark), "2024-01-31 00:00:00", codes)
+    row = results.collect()
+    assert len(row) == 1 and row[0]["job_id"] == 1 and row[0]["raw_text"].count("[front]") == len(text)
+    assert [c["status"] for c in row[0]["code_scans"]] == ["LABEL_MATCH"]
+    assert {b["field"] for b in row[0]["boxes"]} >= {"net_quantity", "mrp"}
+    assert sorted((r["product_id"], "no view" in r["reason"]) for r in unusable.collect()) == [(2, False), (3, True)]

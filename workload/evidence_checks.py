@@ -8,7 +8,7 @@ from packwise.functions import geometry as g
 from packwise.functions import text as tx
 from packwise.operators import evidence as ev
 from packwise.operators import view_merge as vm
-from packwise.plans.inspection import inspect_lines
+from packwise.plans.inspection import inspect_lines, inspect_products
 from packwise.schemas import LABEL_FIELDS, TEXT_FIELDS
 from packwise.sources.rules import load_rules
 from workload.inputs import (
@@ -317,3 +317,19 @@ def inspect_lines_query(spark, sf_dir):
     return inspect_lines(lines, load_rules(spark), AS_OF).select(
         "job_id", "product_id", "product_type", "score", "is_compliant", "summary",
         F.array_join("missing_fields", ",").alias("missing_fields"))
+
+
+@query("inspect_products", f"""WITH {DUCK_LINES} SELECT product_id, CASE WHEN bool_or({_TIDY} <> '') THEN 'result'
+ ELSE 'OCR could not read text from the uploaded images. No compliance score was generated.' END AS outcome
+FROM ocr_lines GROUP BY product_id
+UNION ALL SELECT -1 - product_id, 'OCR returned no view results. No compliance score was generated.' FROM
+ (SELECT DISTINCT product_id FROM ocr_lines) WHERE product_id % 5 = 0""")
+def inspect_products_query(spark, sf_dir):
+    """Every product has a result or a reason; some products have no photo at all."""
+    lines = ocr_lines(spark, sf_dir)
+    known = lines.select("product_id").distinct()
+    products = known.unionByName(known.filter("product_id % 5 = 0").select((-1 - F.col("product_id")).alias("product_id")))
+    results, unusable = inspect_products(products, lines, load_rules(spark), AS_OF, code_scans(spark, sf_dir))
+    return results.select(F.col("job_id").alias("product_id"), F.when(
+        F.col("score").isNotNull() & F.col("raw_text").isNotNull(), "result").alias("outcome")).unionByName(
+        unusable.select("product_id", F.col("reason").alias("outcome")))
