@@ -26,13 +26,14 @@ from packwise.shipping import ship  # noqa: E402
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells; the others go."""
     told = langid.identify(docs, langid.learn(learnable(docs)))
-    return told.where(told["accepted"]).select(*map(col, docs.columns))
+    return told.where(col(told.columns[-1])).select(*map(col, docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and n_chars follows the text; a document of which no line is left goes too."""
     kept = line_dedup.drop_repeated_lines(docs)
-    kept = kept.where((F.col("n_dropped") == 0) | (F.col("text") != ""))
+    n_dropped = col(kept.columns[-1])
+    kept = kept.where((n_dropped == 0) | (col("text") != ""))
     n_chars = F.char_length(col("text")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", n_chars).select(*map(col, docs.columns))
 

@@ -13,6 +13,7 @@ from packwise.llm import langid
 from packwise.llm.common import written
 from packwise.llm.queries import BYTE_BPE, ORACLES, QUERIES, learnable
 from tests.compare import compare, duck
+from tests.llm import tables
 from tests.llm.test_corpus import brute_components, brute_hits, brute_lines
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +53,19 @@ def test_stages_against_brute_force(spark):
     assert corpus_pipeline.run(spark, SF).count() == stages["packed"](spark, free, SF).count()
 
 
+def test_stages_take_awkward_rows_and_clashing_columns(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    clash = ("accepted", "score", "lang_pred", "n_dropped", "n_lines", "component_id", "fp", "n_hit", "hits")
+    for df in (tables.docs(spark), tables.empty(spark)):
+        df = df.selectExpr("*", *[f"'x' AS {c}" for c in clash])
+        for name in ("language", "lines", "near_duplicates", "benchmark_free"):
+            out = stages[name](spark, df, SF)
+            assert out.dtypes == df.dtypes and out.count() <= df.count()
+        assert (stages["packed"](spark, df, SF).count() == 0) == (df.count() == 0)
+    # Clean rows stay: the lines of doc 5's two rows are repeated, and only those go.
+    assert stages["lines"](spark, tables.docs(spark), SF).where("doc_id = 10").first()["n_chars"] > 100_000
+
+
 def test_twins_of_the_queries(spark):
     for name, sql in ORACLES.items():
         assert compare(spark, duck(SF), QUERIES[name], sql, SF) is None, name
