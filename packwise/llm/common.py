@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,25 +9,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packwise.sources.storage import new_folder, shared_folder
+
 #: ASCII white space, the only separators that the word and line rules know.
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = getattr(context, "_packwise_scratch", None) or tempfile.mkdtemp(prefix="packwise-")
-        context._packwise_scratch = folder
-        context.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``."""
+    return new_folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    scratch(df.sparkSession, "")  # a local session gets its folder
+    shared_folder(df.sparkSession)  # a local session gets its folder
     return df.checkpoint()
 
 
@@ -63,7 +52,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut where the text of a cut would pass ``most`` bytes (one row at least)."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
@@ -75,3 +64,4 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
             total += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ PLAIN = re.compile(rb"(\s?)(" + LETTERS + rb")([!-&(-/:-@\[-`{-~]*)")
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Stretches that a worker remembers; beyond it starts afresh. About 200 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -107,8 +107,9 @@ class Segments:
         use = stretches.indices.to_numpy(zero_copy_only=False)
         taken = size[use]
         upto = np.concatenate(([0], np.cumsum(taken, dtype=np.int64)))
-        shift = np.repeat((first[use] - upto[:-1]).astype(np.int64), taken)
-        ids = flat[shift + np.arange(upto[-1])]
+        place = np.repeat((first[use] - upto[:-1]).astype(np.int32), taken)  # a block has far fewer than 2^31 ids
+        place += np.arange(upto[-1], dtype=np.int32)
+        ids = flat[place]
         bounds = np.searchsorted(at, np.concatenate(([0], ends)))
         return ids, np.diff(upto[bounds])
 

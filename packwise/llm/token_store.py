@@ -26,7 +26,7 @@ from packwise.llm import simple8b
 from packwise.llm.common import blocks, col
 from packwise.llm.segments import segments, text_bytes, with_end
 
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 STORE = ("part int, segment int, first long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, "
          "words binary")
 _ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
