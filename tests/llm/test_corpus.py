@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from packwise.llm import components, decontam, langid, line_dedup, quality, simhash
 from packwise.llm.queries import learnable
@@ -257,9 +258,9 @@ def test_weights_and_scores(spark):
     rows = [r for r in DOCS if r[0] not in (10, 11)] + EXTRA
     trusted = spark.createDataFrame([(1,), (33,), (99,)], "doc_id long")
     weights = quality.learn(docs(spark, rows), trusted, 64)
-    table = docs(spark, rows).select(
-        "doc_id", quality.gram_buckets(quality.words_of(quality.lower_ascii(docs(spark, rows)["text"])), 64).alias("b"))
-    grams = [(r["doc_id"], r["b"]) for r in table.collect()]
+    one = quality.hashes_of(quality.words_of(F.col("text")))
+    table = docs(spark, rows).select("doc_id", one.alias("one"), quality.pairs_of(one, one, 1).alias("two"))
+    grams = [(r["doc_id"], [h % 64 for h in [*r["one"], *r["two"]]]) for r in table.collect()]
     for d, text, *_ in rows:
         words = [w for w in re.split(f"[{SPACE}]+", text or "") if w]
         assert (d, max(0, 2 * len(words) - 1)) in {(g[0], len(g[1])) for g in grams}
