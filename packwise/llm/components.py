@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 from packwise.llm.common import checkpointed
 
+#: Parts that the neighbours of one node are dealt to.
+SALTS = 16
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links(u, v) with the m of their u; a node of very many neighbours is met in parts."""
+    dealt = links.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    each = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(each, ["u", "part"])
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Neighbours above a node are tied to the smallest node around it."""
     both = links.union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its neighbours below it are tied to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = _with_least(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(least.select("u", F.col("m").alias("v")))
 
 

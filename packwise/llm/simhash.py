@@ -44,16 +44,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
+    joined, n_words = b" ".join(words), len(words)
+    del words
     blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = [0, *(blanks + 1).tolist()]
-    ends = [*blanks.tolist(), len(joined)][min(shingle, len(words)) - 1:]
+    starts = np.concatenate(([0], blanks + 1))
+    ends = np.concatenate((blanks, [len(joined)]))[min(shingle, n_words) - 1:]
     digest = xxhash.xxh64_intdigest
     n = len(ends)
     counts = np.zeros(64, np.int64)
     for a in range(0, n, 65_536):  # bounded memory for texts of any length
-        some = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts[a:a + 65_536], ends[a:a + 65_536])),
-                           np.uint64)
+        spans = zip(starts[a:a + 65_536].tolist(), ends[a:a + 65_536].tolist())
+        some = np.fromiter((digest(joined[i:j], SEED) for i, j in spans), np.uint64)
         counts += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
             axis=0, dtype=np.int64)
     return sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist())
