@@ -262,18 +262,19 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).alias("polygon"))
 
 
-# Codes read on documents: data is the first word of a line or a constant.
+# Codes read on documents: data is every word of every line and variant, or a constant.
 CODE_SCANS_SQL = """
 SELECT product_id, view, CASE (product_id + line_no) % 3 WHEN 0 THEN 'gray' WHEN 1 THEN 'equalised' ELSE 'original' END AS scan_pass,
  CASE WHEN line_no % 2 = 0 THEN 'QRCODE' ELSE ' EAN13 ' END AS type,
- CASE WHEN product_id % 2 = 0 THEN word ELSE '8901234567890' END AS data, CAST(line_no AS BIGINT) AS position
-FROM {first_words}
+ CASE WHEN product_id % 2 = 0 THEN word ELSE '8901234567890' END AS data, CAST(line_no AS BIGINT) * 100000 + place AS position
+FROM {all_words}
 """
 DUCK_CODES = f"{DUCK_LINES}, code_scans AS (" + CODE_SCANS_SQL.format(
-    first_words="(SELECT *, split_part(text, ' ', 1) AS word FROM ocr_lines WHERE candidate = 'enhanced')") + ")"
+    all_words="""(SELECT product_id, "view", line_no, p AS place, ws[p + 1] AS word FROM
+ (SELECT *, string_split(text, ' ') AS ws FROM ocr_lines), range(0, len(ws)) w(p))""") + ")"
 
 
 def code_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ocr_lines(spark, sf_dir).filter("candidate = 'enhanced'").withColumn(
-        "word", F.split_part("text", F.lit(" "), F.lit(1)))
-    return spark.sql(CODE_SCANS_SQL, first_words=words)
+    words = ocr_lines(spark, sf_dir).select(
+        "product_id", "view", "line_no", F.posexplode(F.split("text", " ", -1)).alias("place", "word"))
+    return spark.sql(CODE_SCANS_SQL, all_words=words)
