@@ -64,6 +64,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, width: int = WIDTH, blan
                 [doc_ids, pa.array(ends - lengths - before), pa.array(lengths), pa.array(crc),
                  pa.array(np.repeat(counts, each)), pa.array(sequence),
                  pa.array(np.zeros(len(lengths), np.int64)), binary], schema=_ARROW)
+        encoder.forget()
 
     rows = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text"))
     return rows.mapInArrow(pieces, PIECES)

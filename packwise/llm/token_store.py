@@ -53,6 +53,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, blanks
                 row = ([part], [segment], [first], [n], [doc_ids[a:b]], [lengths[a:b]], [words])
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, _ARROW.types)], schema=_ARROW)
                 segment, first, a = segment + 1, first + n, b
+        encoder.forget()
 
     rows = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text"))
     # Ties are split too: rows that are equal throughout may change places, nothing depends on it.
