@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from packwise.llm.common import checkpointed
 
-#: Parts that the neighbours of one node are dealt to.
-SALTS = 16
+#: Parts that the neighbours of one node are dealt to. Few, because a side that Spark finds small enough
+#: to broadcast is repeated so many times first.
+SALTS = 4
 
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
