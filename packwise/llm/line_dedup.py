@@ -58,13 +58,16 @@ def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
 
 
-def kept(text: str | None, hashes, lost) -> tuple[str, int, int]:
-    """The text that stays, its number of lines before and the number dropped."""
+def kept(text: str | None, a, b, lost_a, lost_b) -> tuple[str, int, int]:
+    """The text that stays, its number of lines before and the number dropped.
+
+    a and b are the hashes of its lines, lost_a and lost_b those of the keys that go (null for none).
+    """
     lines = (text or "").split("\n")
-    if lost is None:
+    if lost_a is None:
         return text or "", len(lines), 0
-    gone = {(h["a"], h["b"]) for h in lost}
-    stay = [x for x, h in zip(lines, hashes) if (h["a"], h["b"]) not in gone]
+    gone = set(zip(lost_a.tolist(), lost_b.tolist()))
+    stay = [x for x, h in zip(lines, zip(a.tolist(), b.tolist())) if h not in gone]
     return "\n".join(stay), len(lines), len(lines) - len(stay)
 
 
@@ -72,17 +75,21 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     """docs with the text that stays, n_lines (before dropping) and n_dropped; under longer names on a clash."""
 
     @pandas_udf("kept string, n_lines long, n_dropped long")
-    def kept_lines(texts: pd.Series, hashes: pd.Series, lost: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([kept(*x) for x in zip(texts, hashes, lost)], columns=["kept", "n_lines", "n_dropped"])
+    def kept_lines(texts: pd.Series, a: pd.Series, b: pd.Series, lost_a: pd.Series, lost_b: pd.Series) -> pd.DataFrame:
+        rows = [kept(*x) for x in zip(texts, a, b, lost_a, lost_b)]
+        return pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
 
+    kept_lines = kept_lines.asNondeterministic()  # else a filter on its result makes it run twice
     lost = lost_lines(docs, min_chars, min_docs)
     n_lines, n_dropped, gone, key, own = fresh(docs, "n_lines", "n_dropped", "_lost", "_lost_id", "_hashes")
     lost = lost.select(F.col("doc_id").alias(key), F.col("lost").alias(gone))
     both = docs.join(lost, col("doc_id") == F.col(key), "left")
     # Lines that don't count get zeros, which no list holds: pandas would read long beside null as double.
-    none = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    hashes = F.transform(line_hashes(col("text"), min_chars), lambda h: F.coalesce(h, none))
-    hashes = F.when(F.col(gone).isNotNull(), hashes)
-    both = both.withColumn(own, kept_lines(col("text"), hashes, F.col(gone)))
+    zero = F.lit(0).cast("long")
+    hashes = F.when(F.col(gone).isNotNull(), line_hashes(col("text"), min_chars))
+    both = both.withColumn(own, hashes)
+    sides = [F.transform(own, lambda h: F.coalesce(h[side], zero)) for side in ("a", "b")]
+    both = both.withColumn(own, kept_lines(
+        col("text"), *sides, F.col(gone)["a"], F.col(gone)["b"]))
     columns = [F.col(own)["kept"].alias(c) if c.lower() == "text" else col(c) for c in docs.columns]
     return both.select(*columns, F.col(own)["n_lines"].alias(n_lines), F.col(own)["n_dropped"].alias(n_dropped))
