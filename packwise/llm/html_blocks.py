@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 
 # Fixed values of HTML: elements without content, with raw content, that break lines, and what ends an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes noscript template svg annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p "
-    "pre search section select summary table tbody td tfoot th thead title tr ul".split())
+    "pre search section select summary table tbody td tfoot th thead title tr ul xmp".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
             "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("td", "th", "tr", "thead", "tbody"),
             "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody"), "body": ("head",)}
@@ -22,6 +22,8 @@ MARKUP = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
+XMP_END = re.compile(r"</xmp(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+#: Elements below this depth aren't opened; they are counted, so that their end tags close nothing above.
 DEPTH = 256
 
 
@@ -61,13 +63,14 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def read(page: str | None) -> tuple[list[Block], list[Element]]:
-    """Blocks in page order, and all elements that hold blocks. Raw elements have no text."""
+    """Blocks in page order, and all elements that hold blocks. Raw elements have no text, but xmp's is its source."""
     page = page or ""
     root = Element("", {}, None, 0)
     blocks: list[Block] = []
     elements: list[Element] = [root]
     pieces: list[tuple[Element, str]] = []
     here = root
+    beyond: dict[str, int] = {}
     at = 0
 
     def flush() -> None:
@@ -104,11 +107,17 @@ def read(page: str | None) -> tuple[list[Block], list[Element]]:
             continue
         tag = m["tag"].lower()
         if m["close"]:
+            if beyond.get(tag):
+                beyond[tag] -= 1
+                if tag in BLOCKS:
+                    flush()
+                continue
             for e in here.above():
                 if e.tag == tag:
                     if tag in BLOCKS:
                         flush()
                     here = e.parent or root
+                    beyond.clear()
                     break
             continue
         if tag == "br":
@@ -116,8 +125,9 @@ def read(page: str | None) -> tuple[list[Block], list[Element]]:
             continue
         if tag in BLOCKS:
             flush()
-            leave(("p",), HOLDERS)
-            if tag in SIBLINGS:
+            if not any(beyond.values()):
+                leave(("p",), HOLDERS)
+            if tag in SIBLINGS and not any(beyond.values()):
                 leave(SIBLINGS[tag], HOLDERS - frozenset(SIBLINGS[tag]))
                 if tag == "tr" and here.tag == "tr":
                     here = here.parent or root
@@ -125,12 +135,21 @@ def read(page: str | None) -> tuple[list[Block], list[Element]]:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in VOID:
+        if tag in VOID or (tag not in BLOCKS and m["attrs"].rstrip().endswith("/")):
             continue
-        if here.depth < DEPTH and not (tag not in BLOCKS and m["attrs"].rstrip().endswith("/")):
+        opened = here.depth < DEPTH
+        if opened:
             here.children.append(tag)
             here = Element(tag, attributes(m["attrs"]) if m["attrs"] else {}, here, here.depth + 1)
             if tag in BLOCKS:
                 elements.append(here)
+        if tag == "xmp":  # markup inside is text as it stands
+            end = XMP_END.search(page, at)
+            pieces.append((here, page[at:end.start() if end else len(page)]))
+            at = end.end() if end else len(page)
+            flush()
+            here = here.parent or root if opened else here
+        elif not opened:
+            beyond[tag] = beyond.get(tag, 0) + 1
     flush()
     return blocks, elements

@@ -37,17 +37,23 @@ from packwise.llm.html_blocks import Block, Element, read
 MIN_PAGES, MIN_SHARE = 5, 0.05
 MIN_IMPORTANCE = 0.2
 DECAY = 0.9
-#: Names of noise: tags, roles, and words of class and id.
-NOISE_TAGS = frozenset("nav footer aside form button menu dialog select input label fieldset figcaption audio video".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form "
-                        "toolbar".split())
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies "
-    "consent gdpr notice notification alert newsletter subscribe subscription signup login nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist respond reply disqus share sharing "
-    "social related recommended popup modal overlay widget pagination pager toolbar hidden".split())
-HEADER_WORDS = frozenset(("header", "masthead", "topbar"))
-WORD = re.compile(r"[a-z]+")
+#: Names of noise: tags and roles, then whole names among class and id. Those of the second kind say it
+#: anywhere; those of the first kind inside an article or main part too.
+NOISE_TAGS = frozenset("nav form button menu select input audio video".split())
+OUTER_TAGS = frozenset("footer aside".split())
+NOISE_ROLES = frozenset("navigation search menu menubar form toolbar".split())
+OUTER_ROLES = frozenset("banner contentinfo complementary dialog alert alertdialog".split())
+NOISE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsored comment comments commentlist comment-list "
+    "comments-area respond disqus disqus_thread share sharing share-bar sharebar share-buttons social-share "
+    "social-sharing cookie-notice cookie-banner cookie-consent navbar breadcrumb breadcrumbs sidebar pagination".split())
+OUTER_NAMES = frozenset(
+    "banner sponsor promo cookie cookies consent gdpr newsletter subscribe signup login nav navigation menu footer "
+    "masthead related recommended social popup modal overlay widget pager toolbar hidden".split())
+PARTS = ("article", "main")
+HEADER_NAMES = frozenset(("header", "masthead", "topbar"))
+#: Headings carry ids made from their text, and a page's root names its whole layout.
+UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 DIGITS = re.compile(r"\d+")
 
 
@@ -58,19 +64,21 @@ def host_of(url: Column) -> Column:
 
 
 def is_noise(e: Element) -> bool:
-    """Noise by its own name. A page's header is noise, an article's is not."""
-    if e.tag in NOISE_TAGS or e.attrs.get("role", "").lower() in NOISE_ROLES or "hidden" in e.attrs:
+    """Noise by its own name. What only a page's own parts are called (header, footer, promo) says
+    nothing inside an article or main part."""
+    role, style = e.attrs.get("role", "").lower(), e.attrs.get("style", "").replace(" ", "").lower()
+    if e.tag in NOISE_TAGS or role in NOISE_ROLES or e.attrs.get("hidden", "until-found").lower() != "until-found":
         return True
-    words = WORD.findall(f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower())
-    if e.tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(words):
+    if "display:none" in style or "visibility:hidden" in style or (e.tag == "dialog" and "open" not in e.attrs):
         return True
-    if e.tag == "article" and not {"comment", "comments", "ad", "promo", "related"}.isdisjoint(words):
+    names = set() if e.tag in UNNAMED else set(f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower().split())
+    if e.tag in ("article", "main"):
+        return not {"comment", "comments", "ad"}.isdisjoint(names)
+    if not NOISE_NAMES.isdisjoint(names):
         return True
-    style = e.attrs.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style:
-        return True
-    header = e.tag == "header" or not HEADER_WORDS.isdisjoint(words)
-    return header and not any(x.tag in ("article", "main") for x in e.above())
+    outer = e.tag in OUTER_TAGS or e.tag == "header" or role in OUTER_ROLES or not OUTER_NAMES.isdisjoint(names)
+    outer = outer or not HEADER_NAMES.isdisjoint(names)
+    return outer and not any(x.tag in PARTS or x.attrs.get("role", "").lower() in PARTS for x in e.above())
 
 
 def node_path(e: Element) -> int:

@@ -34,6 +34,24 @@ def test_deep_and_odd_markup():
     assert [b.text() for b in blocks] == ["a", "b", "c"]
 
 
+def test_article_keeps_what_only_sounds_like_noise():
+    page = ('<article><h2 id="promotion-and-career">Head</h2><section id="social-policy"><p>Policy</p></section>'
+            '<div class="related-work notice">Work</div><figure><figcaption>Caption</figcaption></figure>'
+            '<fieldset>Set <label>Label</label></fieldset><p>Let <math><mi>x</mi><annotation>tex</annotation></math> be</p>'
+            '<xmp><b>&amp;</b></xmp><div class="share">Share</div><div id="comments">Hm</div><div hidden="">no</div></article>')
+    assert site_tree.main_text(page, set()) == (
+        "Head\nPolicy\nWork\nCaption\nSet Label\nLet x be\n<b>&amp;</b>")
+
+
+def test_ends_of_unopened_elements_close_nothing():
+    deep = "<div>" * 254 + "<article>" + "<div>" * 10 + "in" + "</div>" * 10 + "still</article>" + "</div>" * 254
+    blocks, _ = read(deep)
+    assert [b.text() for b in blocks] == ["in", "still"]
+    assert [b.holder.depth for b in blocks] == [256, 255]
+    blocks, _ = read("<ul><li>" + "<div>" * 254 + "<ul><li>a<li>b</ul>c" + "</div>" * 254 + "d</ul>")
+    assert [(b.text(), b.holder.depth) for b in blocks] == [("a", 256), ("b", 256), ("c", 256), ("d", 2)]
+
+
 def test_templates_go_and_content_stays(spark):
     body = "<body><div class=x>{}</div><div class=box>Same words on every page</div></body>"
     rows = [(i, f"http://site.example/{i}", body.format(f"Story number {i} tells of matters {i * 7}")) for i in range(12)]
