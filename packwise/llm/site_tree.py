@@ -4,11 +4,12 @@ The pages of a host are merged into one tree: a node is a path of elements (tag,
 each node the corpus is counted: on how many pages it occurs, in which presentations (what follows
 what inside it), and which texts its own lines have on how many pages. Importance of a node is the
 entropy of its presentations, or of its content, against the number of its pages: what looks or
-reads the same everywhere tells nothing. Composite importance of a branch blends its own
-presentations with the content below it, and a branch of low importance is template: its lines are
-removed from every page. Before that, presentation that is noise by its name (navigation, adverts,
-forms, scripts, reader comments and so on, as tag, role, class or id) has no importance at all, and a
-page that names its article or main part is read there.
+reads the same everywhere tells nothing. All blocks of all pages are counted. Composite importance of
+a node is that of its own lines; of a branch without any, it blends its presentations with the content
+below it. It is weighed by the evidence of names: nothing in what names itself noise (navigation,
+adverts, forms, reader comments and so on, as tag, role, class or id), half where a name has a noise
+word inside. Lines of low nodes are template; each node is judged for itself, so a line that tells
+something stays although its branch is low.
 
 Counts are summed before they move, by host, path and value, so a host with a third of all pages is
 spread over all tasks; trees are never gathered. What a page needs of its tree is the list of low
@@ -22,7 +23,7 @@ empty table stays empty; other columns are kept.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -51,6 +52,10 @@ OUTER_NAMES = frozenset(
     "banner sponsor promo cookie cookies consent gdpr newsletter subscribe signup login nav navigation menu footer "
     "masthead related recommended social popup modal overlay widget pager toolbar hidden".split())
 PARTS = ("article", "main")
+#: Words inside longer names that make a node doubtful, outside an article or main part.
+DOUBTFUL_WORDS = frozenset(w for name in NOISE_NAMES | OUTER_NAMES for w in re.split("[-_]", name)) | frozenset(
+    "notice notification alert promotion subscription reply header topbar".split()) - frozenset(("list", "area", "bar"))
+WORD = re.compile(r"[a-z]+")
 HEADER_NAMES = frozenset(("header", "masthead", "topbar"))
 #: Headings carry ids made from their text, and a page's root names its whole layout.
 UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
@@ -81,6 +86,13 @@ def is_noise(e: Element) -> bool:
     return outer and not any(x.tag in PARTS or x.attrs.get("role", "").lower() in PARTS for x in e.above())
 
 
+def is_doubtful(e: Element) -> bool:
+    """Whether a word of its class or id sounds like noise: evidence, not proof."""
+    if e.tag in UNNAMED or not e.attrs or any(x.tag in PARTS or x.attrs.get("role", "").lower() in PARTS for x in e.above()):
+        return False
+    return not DOUBTFUL_WORDS.isdisjoint(WORD.findall(f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower()))
+
+
 def node_path(e: Element) -> int:
     """The node of the style tree that an element belongs to."""
     names = []
@@ -90,45 +102,49 @@ def node_path(e: Element) -> int:
     return xxhash.xxh64_intdigest("/".join(names)) - (1 << 63)
 
 
-def candidates(page: str | None) -> list[Block]:
-    """Blocks outside noise, in the article or main part if the page names one."""
-    blocks, _ = read(page)
-    known: dict[int, bool] = {}
+def evidence_of() -> Callable[[Element], float]:
+    """How much a node's place lets its content count: nothing in noise, half where a name has a noise
+    word, else all of it. Remembered for the elements of one page."""
+    known: dict[int, float] = {}
 
-    def noisy(e: Element) -> bool:
+    def evidence(e: Element) -> float:
         if id(e) not in known:
-            known[id(e)] = is_noise(e) or (e.parent is not None and noisy(e.parent))
+            above = 1.0 if e.parent is None else evidence(e.parent)
+            known[id(e)] = above and min(above, 0.0 if is_noise(e) else 0.5 if is_doubtful(e) else 1.0)
         return known[id(e)]
 
-    clean = [b for b in blocks if any(not noisy(e) and not t.isspace() for e, t in b.pieces)]
-    for b in clean:
-        b.pieces = [(e, t) for e, t in b.pieces if not noisy(e)]
-    for part in ("article", "main"):
-        inside = [b for b in clean if any(e.tag == part or e.attrs.get("role") == part for e in b.holder.above())]
-        if inside:
-            return inside
-    return clean
+    return evidence
+
+
+def lines_of(page: str | None) -> list[tuple[Block, float, str]]:
+    """All blocks of a page, each with its evidence and its text: without the pieces that are noise
+    inside it, or as it is if it is noise whole."""
+    evidence, out = evidence_of(), []
+    for b in read(page)[0]:
+        most = max(evidence(e) for e, t in b.pieces if not t.isspace())
+        out.append((b, most, b.text((lambda e: evidence(e) > 0) if most else None)))
+    return out
 
 
 def features(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, path, kind, value), each once a page. Kinds: 0 the node occurs, 1 a presentation,
-    2 a text of its own, 3 a node above it."""
+    """Rows (host, path, kind, value), each once a page. Kinds: 0 the node occurs (value: its
+    evidence in tenths), 1 a presentation, 2 a text of its own, 3 a node above it."""
     for batch in pages:
         hosts, out = batch.column("host").to_pylist(), ([], [], [], [])
         for host, page in zip(hosts, batch.column("html").to_pylist()):
-            rows = {(0, 0, 0)}
-            blocks = candidates(page)
+            rows = {(0, 0, 10)}
             paths: dict[int, int] = {}
-            for b in blocks:
+            evidence = evidence_of()
+            for b, _, text in lines_of(page):
                 chain = []
                 for e in b.holder.above():
                     if id(e) not in paths:
                         paths[id(e)] = node_path(e)
                         look = [c for i, c in enumerate(e.children) if not i or c != e.children[i - 1]]
-                        rows.add((paths[id(e)], 0, 0))
+                        rows.add((paths[id(e)], 0, round(10 * evidence(e))))
                         rows.add((paths[id(e)], 1, xxhash.xxh64_intdigest(" ".join(look)) - (1 << 63)))
                     chain.append(paths[id(e)])
-                rows.add((chain[0], 2, xxhash.xxh64_intdigest(b.text()) - (1 << 63)))
+                rows.add((chain[0], 2, xxhash.xxh64_intdigest(text) - (1 << 63)))
                 rows.update((chain[0], 3, up) for up in chain)
             for path, kind, value in sorted(rows):
                 for values, x in zip(out, (host, path, kind, value)):
@@ -139,18 +155,19 @@ def features(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Nodes of the trees of pages(host, html): host, path, pages, share (of the host's pages),
-    presentation and content (importance of either, 0 to 1), composite."""
+    """Nodes of the trees of pages(host, html): host, path, pages, share (of the host's pages), own (has
+    lines of its own), presentation and content (importance of either, 0 to 1), evidence, composite."""
     rows = pages.mapInArrow(features, "host string, path long, kind byte, value long")
     counted = written(rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k")), "style-tree")
     k, kind = F.col("k"), F.col("kind")
     of = lambda n, x: F.coalesce(F.sum(F.when(kind == n, x)), F.lit(0.0))
     nodes = counted.where("kind < 3").groupBy("host", "path").agg(
-        F.max(F.when(kind == 0, k)).alias("pages"), of(1, F.lit(1)).alias("looks"),
+        F.sum(F.when(kind == 0, k)).alias("pages"), F.max(F.when(kind == 0, F.col("value") / 10)).alias("evidence"),
+        of(1, F.lit(1)).alias("looks"),
         of(1, k).alias("s1"), of(1, k * F.log(k)).alias("l1"), of(2, k).alias("s2"), of(2, k * F.log(k)).alias("l2"))
     spread = F.log("pages")
     nodes = nodes.select(
-        "host", "path", "pages", "looks", "s2",
+        "host", "path", "pages", "evidence", "looks", "s2",
         F.when(F.col("pages") == 1, 1.0).otherwise((F.log("s1") - F.col("l1") / F.col("s1")) / spread).alias("presentation"),
         F.when(F.col("pages") == 1, 1.0).otherwise(1 - F.col("l2") / F.col("s2") / spread).alias("content"))
     total = nodes.where("path = 0").select("host", F.col("pages").alias("total"))
@@ -162,23 +179,22 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
     fade = F.pow(F.lit(DECAY), F.col("looks"))
     leaf = F.col("s2") > 0
-    composite = F.when(leaf, F.col("below")).otherwise((1 - fade) * F.col("presentation") + fade * F.col("below"))
+    composite = F.when(leaf, F.col("content")).otherwise((1 - fade) * F.col("presentation") + fade * F.col("below"))
     return own.join(below, ["host", "path"]).join(total, "host").select(
-        "host", "path", "pages", (F.col("pages") / F.col("total")).alias("share"), "presentation", "content",
-        composite.alias("composite"))
+        "host", "path", "pages", (F.col("pages") / F.col("total")).alias("share"), leaf.alias("own"), "presentation",
+        "content", "evidence", (F.col("evidence") * composite).alias("composite"))
 
 
 def templates(tree: DataFrame) -> DataFrame:
-    """Per host the low branches. Each is on a share of the host's pages, so they are few."""
-    low = (F.col("pages") >= MIN_PAGES) & (F.col("share") >= MIN_SHARE) & (F.col("composite") < MIN_IMPORTANCE)
+    """Per host the low nodes with lines of their own. Each is on a share of the host's pages, so they are few."""
+    low = F.col("own") & (F.col("pages") >= MIN_PAGES) & (F.col("share") >= MIN_SHARE) & (F.col("composite") < MIN_IMPORTANCE)
     return tree.where(low).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
 
 
 def main_text(page: str | None, low: set[int]) -> str:
-    blocks = candidates(page)
-    lines = [(b, b.text()) for b in blocks]
+    lines = [(b, t) for b, evidence, t in lines_of(page) if evidence]
     if low:
-        keep = [(b, t) for b, t in lines if low.isdisjoint(map(node_path, b.holder.above()))]
+        keep = [(b, t) for b, t in lines if node_path(b.holder) not in low]
         # What makes up most of a page is its content, even if the host repeats it.
         if 2 * sum(len(t) for _, t in keep) >= sum(len(t) for _, t in lines):
             lines = keep

@@ -43,6 +43,21 @@ def test_article_keeps_what_only_sounds_like_noise():
         "Head\nPolicy\nWork\nCaption\nSet Label\nLet x be\n<b>&amp;</b>")
 
 
+def test_tree_sees_every_block(spark):
+    page = ("<body><div class=top>Same top</div><main><p>Story {0} told at length, {0} times</p></main>"
+            "<div class=text><p>Aside the main part {0}</p></div><article><a>Teaser {0}</a></article>"
+            "<div class=social-wall><p>{1}</p></div><nav>Menu {0}</nav></body>")
+    rows = [(i, "http://a.example/", page.format(i, f"Wall {i % 6}")) for i in range(12)]
+    df = pages(spark, rows)
+    for r in site_tree.extract(df).collect():
+        i = r["page_id"]
+        # The wall's words name nothing: its texts come twice each, which half the evidence doesn't make low.
+        assert r["text"] == f"Story {i} told at length, {i} times\nAside the main part {i}\nTeaser {i}\nWall {i % 6}"
+    tree = site_tree.style_tree(df.select(site_tree.host_of(df.url).alias("host"), "html"))
+    found = {round(r["composite"], 3) for r in tree.where("own").collect()}
+    assert tree.where("own").count() == 6 and found == {0.0, 1.0, 0.361}
+
+
 def test_ends_of_unopened_elements_close_nothing():
     deep = "<div>" * 254 + "<article>" + "<div>" * 10 + "in" + "</div>" * 10 + "still</article>" + "</div>" * 254
     blocks, _ = read(deep)
