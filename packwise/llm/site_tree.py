@@ -8,15 +8,17 @@ reads the same everywhere tells nothing. All blocks of all pages are counted. Co
 a node is that of its own lines; of a branch without any, it blends its presentations with the content
 below it. It is weighed by the evidence of names: nothing in what names itself noise (navigation,
 adverts, forms, reader comments and so on, as tag, role, class or id), half where a name has a noise
-word inside. Lines of low nodes are template; each node is judged for itself, so a line that tells
-something stays although its branch is low.
+word inside. Repeated lines of low nodes are template, on however small a share of the host's pages; each
+node is judged for itself, so a line that tells something stays although its branch is low. Pages that
+say the same are counted as one, so copies of a page don't make a template of it.
 
-Counts are summed before they move, by host, path and value, so a host with a third of all pages is
-spread over all tasks; trees are never gathered. What a page needs of its tree is the list of low
-branches that many of the host's pages share, which bounds its length.
+Counts are summed before they move, by host, path, value and page, so a host with a third of all pages is
+spread over all tasks; trees are never gathered. What a page needs of its tree are the template lines
+of its host: those on a share of its pages as one list, which the share bounds, and rarer ones
+joined to the pages that have them.
 
 Defined results: null html has no text; a null or odd url is the host of its own kind; rows of one
-page_id are pages each; pages of a host with fewer than ``MIN_PAGES`` pages have no template; an
+page_id are pages each; of a host with fewer than ``MIN_PAGES`` different pages only names tell noise; an
 empty table stays empty; other columns are kept.
 """
 
@@ -35,7 +37,10 @@ from pyspark.sql.functions import pandas_udf
 from packwise.llm.common import col, fresh, written
 from packwise.llm.html_blocks import Block, Element, read
 
-MIN_PAGES, MIN_SHARE = 5, 0.05
+#: On how many different pages of a host a line of template is at least.
+MIN_PAGES = 5
+#: Lines on this share of a host's pages are listed per host, rarer ones per page.
+LISTED_SHARE = 0.05
 MIN_IMPORTANCE = 0.2
 DECAY = 0.9
 #: Names of noise: tags and roles, then whole names among class and id. Those of the second kind say it
@@ -126,16 +131,23 @@ def lines_of(page: str | None) -> list[tuple[Block, float, str]]:
     return out
 
 
+def line_key(path: int, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path} {text}") - (1 << 63)
+
+
 def features(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, path, kind, value), each once a page. Kinds: 0 the node occurs (value: its
-    evidence in tenths), 1 a presentation, 2 a text of its own, 3 a node above it."""
+    """Rows (host, path, kind, value, page), each once a page. Kinds: 0 the node occurs (value: its
+    evidence in tenths), 1 a presentation, 2 a line of its own, 3 a node above it (page is 0), and at
+    path 0: 4 the key of the row. ``page`` is the hash of what the page says outside noise, so copies of
+    a page are one page."""
     for batch in pages:
-        hosts, out = batch.column("host").to_pylist(), ([], [], [], [])
-        for host, page in zip(hosts, batch.column("html").to_pylist()):
-            rows = {(0, 0, 10)}
+        out = ([], [], [], [], [])
+        for host, key, html in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
+            rows = {(0, 0, 10), (0, 4, key)}
             paths: dict[int, int] = {}
-            evidence = evidence_of()
-            for b, _, text in lines_of(page):
+            evidence, lines = evidence_of(), lines_of(html)
+            page = xxhash.xxh64_intdigest("\n".join(text for _, most, text in lines if most)) - (1 << 63)
+            for b, _, text in lines:
                 chain = []
                 for e in b.holder.above():
                     if id(e) not in paths:
@@ -144,21 +156,31 @@ def features(pages: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.add((paths[id(e)], 0, round(10 * evidence(e))))
                         rows.add((paths[id(e)], 1, xxhash.xxh64_intdigest(" ".join(look)) - (1 << 63)))
                     chain.append(paths[id(e)])
-                rows.add((chain[0], 2, xxhash.xxh64_intdigest(text) - (1 << 63)))
+                rows.add((chain[0], 2, line_key(chain[0], text)))
                 rows.update((chain[0], 3, up) for up in chain)
             for path, kind, value in sorted(rows):
-                for values, x in zip(out, (host, path, kind, value)):
+                for values, x in zip(out, (host, path, kind, value, 0 if kind == 3 else page)):
                     values.append(x)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int8()),
-             pa.array(out[3], pa.int64())], ["host", "path", "kind", "value"])
+             pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], ["host", "path", "kind", "value", "page"])
+
+
+def seen(pages: DataFrame) -> DataFrame:
+    """The features of pages(host, key, html), each once for each page that differs; written."""
+    rows = pages.mapInArrow(features, "host string, path long, kind byte, value long, page long")
+    return written(rows.distinct(), "style-rows")
+
 
+def counts(rows: DataFrame) -> DataFrame:
+    """On how many different pages each feature is; written."""
+    k = rows.where("kind < 4").groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k"))
+    return written(k, "style-tree")
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """Nodes of the trees of pages(host, html): host, path, pages, share (of the host's pages), own (has
+
+def style_tree(counted: DataFrame) -> DataFrame:
+    """Nodes of the trees of ``counts``: host, path, pages (that differ), total (of the host), own (has
     lines of its own), presentation and content (importance of either, 0 to 1), evidence, composite."""
-    rows = pages.mapInArrow(features, "host string, path long, kind byte, value long")
-    counted = written(rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k")), "style-tree")
     k, kind = F.col("k"), F.col("kind")
     of = lambda n, x: F.coalesce(F.sum(F.when(kind == n, x)), F.lit(0.0))
     nodes = counted.where("kind < 3").groupBy("host", "path").agg(
@@ -181,23 +203,38 @@ def style_tree(pages: DataFrame) -> DataFrame:
     leaf = F.col("s2") > 0
     composite = F.when(leaf, F.col("content")).otherwise((1 - fade) * F.col("presentation") + fade * F.col("below"))
     return own.join(below, ["host", "path"]).join(total, "host").select(
-        "host", "path", "pages", (F.col("pages") / F.col("total")).alias("share"), leaf.alias("own"), "presentation",
-        "content", "evidence", (F.col("evidence") * composite).alias("composite"))
+        "host", "path", "pages", "total", leaf.alias("own"), "presentation", "content",
+        "evidence", (F.col("evidence") * composite).alias("composite"))
+
+
+def templates(counted: DataFrame) -> DataFrame:
+    """Template lines (host, line, common): repeated lines of low nodes. A line that few pages have is
+    content, whatever its node's other lines are. Noise by name goes without being listed."""
+    low = F.col("own") & (F.col("evidence") > 0) & (F.col("pages") >= MIN_PAGES) & (F.col("composite") < MIN_IMPORTANCE)
+    nodes = style_tree(counted).where(low).select("host", "path", "total")
+    lines = counted.where((F.col("kind") == 2) & (F.col("k") >= MIN_PAGES)).join(nodes, ["host", "path"])
+    return lines.select("host", F.col("value").alias("line"), (F.col("k") >= LISTED_SHARE * F.col("total")).alias("common"))
+
+
+def low_by_host(found: DataFrame) -> DataFrame:
+    """host, low: the common template lines. Each is on a share of the host's pages, so they are few."""
+    return found.where("common").groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("low"))
 
 
-def templates(tree: DataFrame) -> DataFrame:
-    """Per host the low nodes with lines of their own. Each is on a share of the host's pages, so they are few."""
-    low = F.col("own") & (F.col("pages") >= MIN_PAGES) & (F.col("share") >= MIN_SHARE) & (F.col("composite") < MIN_IMPORTANCE)
-    return tree.where(low).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
+def low_by_page(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """host, key, low: the rarer template lines of each page that has any, in ``rows`` of ``seen``."""
+    rare = found.where("NOT common").select("host", F.col("line").alias("value"))
+    low = rows.where("kind = 2").join(rare, ["host", "value"]).groupBy("host", "page").agg(
+        F.sort_array(F.collect_set("value")).alias("low"))
+    keys = rows.where("kind = 4").select("host", "page", F.col("value").alias("key"))
+    return keys.join(low, ["host", "page"]).groupBy("host", "key").agg(F.first("low").alias("low"))
 
 
 def main_text(page: str | None, low: set[int]) -> str:
+    """The lines of a page outside noise, without those whose keys are in ``low``."""
     lines = [(b, t) for b, evidence, t in lines_of(page) if evidence]
     if low:
-        keep = [(b, t) for b, t in lines if node_path(b.holder) not in low]
-        # What makes up most of a page is its content, even if the host repeats it.
-        if 2 * sum(len(t) for _, t in keep) >= sum(len(t) for _, t in lines):
-            lines = keep
+        lines = [(b, t) for b, t in lines if line_key(node_path(b.holder), t) not in low]
     return "\n".join(t for _, t in lines if t)
 
 
@@ -205,12 +242,17 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages(url, html) with the column text, the main text (a longer name on a clash)."""
 
     @pandas_udf("string")
-    def text_of(html: pd.Series, low: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, set() if x is None else set(x.tolist())) for p, x in zip(html, low)], dtype=object)
-
-    host, key, low, text = fresh(pages, "_host", "_tree_host", "_low", "text")
-    sited = pages.withColumn(host, host_of(col("url")))
-    tree = style_tree(sited.select(F.col(host).alias("host"), col("html").alias("html")))
-    found = written(templates(tree), "templates").select(F.col("host").alias(key), F.col("low").alias(low))
-    both = sited.join(found, F.col(host) == F.col(key), "left")
-    return both.select(*map(col, pages.columns), text_of(col("html"), F.col(low)).alias(text))
+    def text_of(html: pd.Series, common: pd.Series, rare: pd.Series) -> pd.Series:
+        low = (set().union(*(x.tolist() for x in (a, b) if x is not None)) for a, b in zip(common, rare))
+        return pd.Series([main_text(p, x) for p, x in zip(html, low)], dtype=object)
+
+    names = fresh(pages, "_host", "_key", "_low_host", "_low", "_rare_host", "_rare_key", "_rare", "text")
+    host, key, low_host, low, rare_host, rare_key, rare, text = names
+    sited = pages.withColumn(host, host_of(col("url"))).withColumn(key, F.xxhash64(col("html")))
+    rows = seen(sited.select(F.col(host).alias("host"), F.col(key).alias("key"), col("html").alias("html")))
+    found = written(templates(counts(rows)), "templates")
+    common = written(low_by_host(found), "templates-host").toDF(low_host, low)
+    by_page = written(low_by_page(found, rows), "templates-page").toDF(rare_host, rare_key, rare)
+    both = sited.join(common, F.col(host) == F.col(low_host), "left").join(
+        by_page, (F.col(host) == F.col(rare_host)) & (F.col(key) == F.col(rare_key)), "left")
+    return both.select(*map(col, pages.columns), text_of(col("html"), F.col(low), F.col(rare)).alias(text))

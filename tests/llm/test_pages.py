@@ -53,11 +53,30 @@ def test_tree_sees_every_block(spark):
         i = r["page_id"]
         # The wall's words name nothing: its texts come twice each, which half the evidence doesn't make low.
         assert r["text"] == f"Story {i} told at length, {i} times\nAside the main part {i}\nTeaser {i}\nWall {i % 6}"
-    tree = site_tree.style_tree(df.select(site_tree.host_of(df.url).alias("host"), "html"))
+    rows = site_tree.seen(df.selectExpr("'a.example' AS host", "page_id AS key", "html"))
+    tree = site_tree.style_tree(site_tree.counts(rows))
     found = {round(r["composite"], 3) for r in tree.where("own").collect()}
+    assert site_tree.templates(site_tree.counts(rows)).count() == 1
     assert tree.where("own").count() == 6 and found == {0.0, 1.0, 0.361}
 
 
+def test_templates_outweigh_short_stories(spark):
+    legal = "All rights reserved, without exception. " * 5
+    page = "<body><p class=s>Story {}</p><div class=x>{}</div><div class=y>{}</div></body>"
+    rows = [(i, "http://a.example/", page.format(i, legal, "Banner" if i < 6 else "")) for i in range(200)]
+    # A node that mostly says one thing, and on some pages something of its own.
+    odd = "<body><div class=t>{}</div><p>Page {}</p></body>"
+    rows += [(1000 + i, "http://b.example/", odd.format("Please log in" if i >= 3 else f"Only here {i}", i)) for i in range(60)]
+    # Copies that differ in a script and an advert.
+    copy = "<body><script>t({0})</script><div class=ad>Ad {0}</div><p>One text</p></body>"
+    rows += [(2000 + i, "http://c.example/", copy.format(i)) for i in range(20)]
+    text = {r["page_id"]: r["text"] for r in site_tree.extract(pages(spark, rows)).collect()}
+    assert len(text) == 280
+    assert all(text[i] == f"Story {i}" for i in range(200))
+    assert all(text[1000 + i] == (f"Only here {i}\n" if i < 3 else "") + f"Page {i}" for i in range(60))
+    assert all(text[2000 + i] == "One text" for i in range(20))
+
+
 def test_ends_of_unopened_elements_close_nothing():
     deep = "<div>" * 254 + "<article>" + "<div>" * 10 + "in" + "</div>" * 10 + "still</article>" + "</div>" * 254
     blocks, _ = read(deep)
