@@ -70,9 +70,10 @@ def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality.learn(docs, quality.trusted_ids(_table(spark, sf_dir, "labels")))
-    return quality.judge(docs, weights).drop("text")
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels")
+    counts = quality.counted(docs, quality.trusted_ids(labels))
+    held = [tuple(r) for r in quality.held_scores(docs, labels, counts).collect()]
+    return quality.judge(docs.drop("lang"), quality.weights_of(counts), quality.threshold(held)).drop("text")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,25 @@ def test_weights_and_scores(spark):
     assert quality.learn(docs(spark, rows), trusted.limit(0), 64) == [0] * 64
 
 
+def test_threshold_is_held_out(spark):
+    good = [("en", True, 0.1 + i / 1000) for i in range(95)] + [("de", True, -0.3 + i / 1000) for i in range(5)]
+    bad = [("en", False, -0.5 + i / 1000) for i in range(20)] + [("de", False, -0.2)]
+    assert quality.threshold(good + bad) == -0.3 == quality.threshold(bad[::-1] + good[::-1])
+    assert quality.threshold(good) == quality.threshold(bad) == quality.threshold([]) == -math.inf
+    rows = [(i, prose(i, 80), "en", "a", 0) for i in range(1, 13)]
+    labels = spark.createDataFrame([(i, int(i < 7), 0) for i in range(1, 11)], "doc_id long, quality int, toxic int")
+    table = docs(spark, rows)
+    counts = quality.counted(table, quality.trusted_ids(labels), 64)
+    held = sorted((r["good"], round(r["score"], 5)) for r in quality.held_scores(table, labels, counts).collect())
+    expected = []
+    for i in range(1, 11):
+        without = quality.trusted_ids(labels.where(F.col("doc_id") != i))
+        scored = quality.judge(table.where(F.col("doc_id") == i), quality.learn(table, without, 64)).first()
+        if not scored["base_failed"]:
+            expected.append((i < 7, round(scored["score"], 5)))
+    assert len(held) > 6 and held == sorted(expected)
+
+
 def test_trusted_ids_are_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2, 1 if i % 10 == 1 else 0) for i in range(400)] + [(None, 1, 0), (7, 1, 0)],
                                    "doc_id long, quality int, toxic int")
