@@ -295,6 +295,8 @@ def test_threshold_is_held_out(spark):
         if not scored["base_failed"]:
             expected.append((i < 7, round(scored["score"], 5)))
     assert len(held) > 6 and held == sorted(expected)
+    plan = quality.held_scores(table, labels, counts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "transform" in plan  # only the written labelled rows are judged
 
 
 def test_trusted_ids_are_bounded(spark):
