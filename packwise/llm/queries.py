@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwise.llm import (
-    decontam, infill, langid, licences, line_dedup, packing, quality, simhash, site_tree, token_counts, token_store, warc,
+    collocations, decontam, infill, langid, licences, line_dedup, packing, quality, simhash, site_tree, token_counts, token_store, warc,
 )
 from packwise.llm.common import col, scratch
 
@@ -100,10 +100,15 @@ def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", "labels").alias("labels"), "score", F.size("spans").alias("n_spans"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_store, op2_line_dedup, op3_warc_derivatives, op4_simhash, op5_language, op6_decontamination,
-        op7_site_tree, op8_quality, op9_token_counts, op10_packing, op11_infill, op12_licences)
+        op7_site_tree, op8_quality, op9_token_counts, op10_packing, op11_infill, op12_licences,
+        op13_collocations)
 }
 
 _STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
@@ -147,6 +152,37 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
               ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM parted
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS c
+  FROM worded, range(1, 4) s(m), range(1, len(w) - m + 2) t(i) GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, c AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND c >= 10),
+cuts AS (
+  SELECT p.lang, p.phrase, p.a, k, x.c AS l, y.c AS r,
+         (1000000::HUGEINT * p.a * p.a) // (x.c::HUGEINT * y.c) AS score
+  FROM (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+        FROM candidates, range(1, 3) t(k) WHERE k < m) p
+  JOIN counts x ON x.lang = p.lang AND x.phrase = p.head AND x.m = p.k
+  JOIN counts y ON y.lang = p.lang AND y.phrase = p.rest AND y.m = p.m - p.k
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN candidates b
+  ON s.lang = b.lang AND s.m = 2 AND b.m = 3
+     AND (s.phrase = array_to_string(b.w[1:2], ' ') OR s.phrase = array_to_string(b.w[2:3], ' '))
+  WHERE 100 * b.a >= 50 * s.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+         phrase, a, l, r, CAST(score AS BIGINT) AS score
+  FROM lowest ANTI JOIN inside USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
     "op6_decontamination": r"""
 WITH item_words AS (

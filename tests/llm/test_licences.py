@@ -122,7 +122,7 @@ def test_rows(spark, clashes):
     assert by_id[104][7] == ["cc-by", "cc-by-nc-4.0"] and by_id[105][7] == ["gpl", "gpl-3.0"]
     assert len(by_id[106][9]) == 40 and all(s["share"] == 1.0 for s in by_id[106][9])
     assert by_id[107][2:7] == (8, 1, 0, 0, ["cc-by"])
-    assert by_id[108][7] == ["gpl-2.0"] and by_id[109][7] == ["bsd-3-clause"]
+    assert by_id[108][7] == ["gpl", "gpl-2.0"] and by_id[109][7] == ["bsd-3-clause"]
     assert by_id[10][7] == [] and by_id[3][2:7] == (0, 0, None, None, [])
 
 
