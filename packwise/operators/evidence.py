@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -35,7 +37,17 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 
 # ---- spatial deduplication -----------------------------------------------------
 
-def merge_lines(lines: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+#: A group of more lines, and of more than a thousandth of all, is cut into bands.
+HOT_LINES = 100_000
+HOT_SHARE = 1 / 1024
+#: Hash classes that lines are counted by, and cells that a hot group's extent is divided into.
+CLASSES, CELLS = 4096, 1 << 16
+#: Boxes with IoU >= 0.5 share at least (a + b) / 3 of their widths a and b, so their middles differ by
+#: (a + b) / 6 at most: the inner thirds of two such boxes meet, on both axes.
+INNER = 0.16667
+
+
+def merge_lines(lines: DataFrame, keys: Sequence[str], order: str, hot: int | None = HOT_LINES) -> DataFrame:
     """Greedy spatial deduplication in line order.
 
     A line repeats the first kept line with the same text key and IoU >= 0.5; if its
@@ -44,29 +56,82 @@ def merge_lines(lines: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     result has the kept lines' columns and ``position``, the order of the first sighting.
 
     Lines move once, to their (keys, text key); null keys are keys too. A partition is sorted
-    and folded in one pass: only the kept lines of one group are held, and a spatial index
-    brings a line together with its neighbours alone, however often a text repeats. The rule
-    is sequential within a group, so one group is one task's work, linear in its lines.
+    and folded in one pass: small groups are folded side by side as arrays, a large one line by
+    line with a grid that brings a line together with its neighbours alone. The rule is sequential
+    among lines that may meet. A group with more than ``hot`` lines (and more than a thousandth of
+    all) is therefore cut into bands of which no two have boxes that may meet; each band is folded
+    by itself. Finding such groups counts the lines by key once before; None leaves that out.
     """
     columns = lines.columns
     text_key = tx.normalize_key(F.col("text"))
     parts = [*[F.col(k) for k in keys], text_key]
     marks = [p.isNull() for p in parts]  # hashes skip nulls
-    ready = (
-        lines.filter(tx.has_text(F.col("text")))
-        .withColumns({
-            "_a": F.xxhash64(*parts, *marks), "_b": F.xxhash64(F.lit(1), *parts, *marks),
-            "_order": F.col(order).cast("bigint"),
-            "_confidence": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)),
-            "_corners": _corners(columns),
-        })
-        .repartition("_a", "_b")
-        .sortWithinPartitions("_a", "_b", "_order")
-    )
+    ready = lines.filter(tx.has_text(F.col("text"))).withColumns({
+        "_a": F.xxhash64(*parts, *marks), "_b": F.xxhash64(F.lit(1), *parts, *marks),
+        "_order": F.col(order).cast("bigint"),
+        "_confidence": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)),
+    })
+    large = [] if hot is None else _large_groups(ready, hot)
+    if large:
+        is_large = F.col("_a").isin(large)
+        ready = ready.where(~is_large).unionByName(_banded(ready.where(is_large)))
+    ready = ready.repartition("_a", "_b").sortWithinPartitions("_a", "_b", "_order")
     schema = StructType([*lines.schema.fields, StructField("position", LongType())])
     return ready.mapInArrow(_folder(columns), schema)
 
 
+def _large_groups(ready: DataFrame, hot: int) -> list[int]:
+    """First hashes of the groups above ``hot`` lines and ``HOT_SHARE`` of all; at most 1 / HOT_SHARE of them."""
+    kind = F.pmod("_a", F.lit(CLASSES))
+    counts = {r["kind"]: r["n"] for r in ready.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
+    least = max(hot, int(HOT_SHARE * sum(counts.values())))
+    suspects = [k for k, n in counts.items() if n > least]
+    if not suspects:
+        return []
+    groups = ready.where(kind.isin(suspects)).groupBy("_a").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return [r["_a"] for r in groups.select("_a").collect()]
+
+
+def _banded(ready: DataFrame) -> DataFrame:
+    """The lines with the first hash telling their band: rows that are apart, then columns that are apart in them.
+
+    Lines without a box meet no other one and are dealt out by their order.
+    """
+    box = _corners(ready.columns)
+    finite = F.forall(box, lambda v: F.abs(v) < float("inf"))
+    axes = {"_low_y": (1, 3, -1), "_high_y": (1, 3, 1), "_low_x": (0, 2, -1), "_high_x": (0, 2, 1)}
+    out = ready.withColumn("_box", F.when(finite, box))
+    out = out.withColumns({
+        name: (F.col("_box")[low] + F.col("_box")[high]) / 2 + side * INNER * (F.col("_box")[high] - F.col("_box")[low])
+        for name, (low, high, side) in axes.items()})
+    extent = out.where(F.col("_box").isNotNull()).groupBy("_a", "_b").agg(
+        *[f(f"_{end}_{axis}").alias(f"_{end}most_{axis}") for axis in "xy" for end, f in (("low", F.min), ("high", F.max))])
+    out = out.join(F.broadcast(extent), ["_a", "_b"], "left")  # as few rows as there are large groups
+    for axis in "yx":
+        out = _cut(out, *[f"_{name}_{axis}" for name in ("low", "high", "lowmost", "highmost")])
+    place = F.when(F.col("_box").isNull(), F.col("_order")).otherwise(F.lit(0))
+    return out.withColumn("_a", F.xxhash64("_a", place)).select(*ready.columns)
+
+
+def _cut(lines: DataFrame, low: str, high: str, lowmost: str, highmost: str) -> DataFrame:
+    """The lines with the first hash telling their band along one axis, too.
+
+    A group's extent is divided into ``CELLS`` cells. Per first cell of its intervals the furthest last
+    cell is kept, so at most so many rows a group are sorted; a band begins where no earlier interval reaches.
+    """
+    group = ["_a", "_b"]
+    unit = F.greatest((F.col(highmost) - F.col(lowmost)) / CELLS, F.lit(1e-300))
+    celled = lines.withColumns({
+        name: F.floor((F.col(c) - F.col(lowmost)) / unit) for name, c in (("_first", low), ("_last", high))})
+    occupied = celled.where(F.col("_first").isNotNull()).groupBy(*group, "_first").agg(F.max("_last").alias("_last"))
+    upto = Window.partitionBy(*group).orderBy("_first")
+    before = F.max("_last").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    bands = occupied.withColumn("_begins", F.coalesce(F.col("_first") > before, F.lit(True)).cast("int")).select(
+        *group, "_first", F.sum("_begins").over(upto).alias("_band"))
+    out = celled.join(bands, [*group, "_first"], "left")
+    return out.withColumn("_a", F.xxhash64("_a", "_band")).drop("_first", "_last", "_band")
+
+
 def _corners(columns: Sequence[str]) -> Column:
     """Box of the polygon as four numbers, else that of the corner list; null if unusable."""
     box = F.lit(None).cast("array<double>")
@@ -83,89 +148,223 @@ def _corners(columns: Sequence[str]) -> Column:
 
 
 class _Kept:
-    """Kept lines of one group, indexed by the height class and the middle of their boxes.
+    """Kept lines of one group: compared one by one while few, then by a grid of their boxes.
 
-    Boxes with IoU >= 0.5 share at least (a + b) / 3 of their heights a and b, so heights
-    differ by a factor of two at most and middles by half of either height.
+    Sizes of boxes with IoU >= 0.5 differ by a factor of two at most, on either axis, and middles by a
+    sixth of the sizes' sum. A cell is told by the size class (power of two) and the middle, on both axes.
     """
 
+    FEW = 12
+
     def __init__(self) -> None:
         self.lines: list[list] = []  # position, confidence, box, where the line is
-        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.cells: dict[tuple[int, int, int, int], list[int]] | None = None
 
     @staticmethod
-    def _cell(box) -> tuple[int, int]:
-        size = math.frexp(box[3] - box[1])[1]
-        return size, math.floor(math.ldexp((box[1] + box[3]) / 2, -size))
+    def _cell(box) -> tuple[int, int, int, int]:
+        width, height = math.frexp(box[2] - box[0])[1], math.frexp(box[3] - box[1])[1]
+        return (width, math.floor(math.ldexp((box[0] + box[2]) / 2, -width)),
+                height, math.floor(math.ldexp((box[1] + box[3]) / 2, -height)))
 
-    def _near(self, box) -> list[int]:
-        height, middle = box[3] - box[1], (box[1] + box[3]) / 2
-        size, reach = math.frexp(height)[1], 0.501 * height
+    @staticmethod
+    def _around(low: float, high: float) -> list[tuple[int, int]]:
+        """Size classes and cells of one axis where such a box may be."""
+        size, middle = high - low, (low + high) / 2
+        own, found = math.frexp(size)[1], []
+        for k in (own - 1, own, own + 1):
+            reach = min(0.501 * size, (size + math.ldexp(1.0, k)) * 0.167)
+            first, last = (math.floor(math.ldexp(middle + d, -k)) for d in (-reach, reach))
+            found += [(k, cell) for cell in range(first, last + 1)]
+        return found
+
+    def _near(self, box):
+        if self.cells is None:
+            return range(len(self.lines))
         found: list[int] = []
-        for k in (size - 1, size, size + 1):
-            low, high = (math.floor(math.ldexp(middle + d, -k)) for d in (-reach, reach))
-            for cell in range(low, high + 1):
-                found += self.cells.get((k, cell), ())
+        down = self._around(box[1], box[3])
+        for across in self._around(box[0], box[2]):
+            for at in down:
+                found += self.cells.get((*across, *at), ())
         return sorted(found)
 
     def add(self, position: int, confidence: float, box, where) -> None:
         if box is not None:
             for i in self._near(box):
                 line = self.lines[i]
-                if _overlap(box, line[2]) >= SAME_LINE_IOU:
+                if line[2] is not None and _overlap(box, line[2]) >= SAME_LINE_IOU:
                     if confidence > line[1]:
-                        self.cells[self._cell(line[2])].remove(i)
-                        self.cells.setdefault(self._cell(box), []).append(i)
+                        if self.cells is not None:
+                            self.cells[self._cell(line[2])].remove(i)
+                            self.cells.setdefault(self._cell(box), []).append(i)
                         line[1:] = [confidence, box, where]
                     return
-            self.cells.setdefault(self._cell(box), []).append(len(self.lines))
+            if self.cells is not None:
+                self.cells.setdefault(self._cell(box), []).append(len(self.lines))
         self.lines.append([position, confidence, box, where])
+        if self.cells is None and len(self.lines) > self.FEW:
+            self.cells = {}
+            for i, line in enumerate(self.lines):
+                if line[2] is not None:
+                    self.cells.setdefault(self._cell(line[2]), []).append(i)
+
+
+def _plain(rows: range, order, confidence, boxes) -> Iterator[tuple[int, float, list[float] | None]]:
+    """Order, confidence and box of a stretch of rows as plain values."""
+    own = slice(rows.start, rows.stop)
+    for position, sure, box in zip(order[own].tolist(), confidence[own].tolist(), boxes[own].tolist()):
+        yield position, sure, None if box[0] != box[0] else box
+
+
+class _Open:
+    """A group that goes on in the next batch: its kept lines and the batches that they stand in.
+
+    Batches are held whole and copied down to the kept lines only when these are less than half of
+    what is held, so a line is copied a bounded number of times however many batches the group has.
+    """
+
+    def __init__(self, key: tuple[int, int]):
+        self.key, self.kept, self.sources = key, _Kept(), []
+
+    def fold(self, source: pa.RecordBatch, rows: range, order, confidence, boxes) -> None:
+        at = len(self.sources)
+        self.sources.append(source)
+        for line, row in zip(_plain(rows, order, confidence, boxes), rows):
+            self.kept.add(*line, (at, row))
+        held = sum(s.num_rows for s in self.sources)
+        if held > 2 * len(self.kept.lines) + 4 * source.num_rows:
+            self.sources, ordered = [self._rows()], self._ordered()
+            for i, line in enumerate(ordered):
+                line[3] = (0, i)
+
+    def _ordered(self) -> list[list]:
+        return sorted(self.kept.lines, key=lambda line: line[3])
+
+    def _rows(self) -> pa.RecordBatch:
+        taken = [[] for _ in self.sources]
+        for line in self._ordered():
+            taken[line[3][0]].append(line[3][1])
+        parts = [s.take(pa.array(rows, pa.int64())) for s, rows in zip(self.sources, taken) if rows]
+        whole = pa.Table.from_batches(parts or [self.sources[0].slice(0, 0)]).combine_chunks().to_batches()
+        return whole[0] if whole else self.sources[0].slice(0, 0)
+
+    def close(self) -> tuple[pa.RecordBatch, list[int]]:
+        return self._rows(), [line[0] for line in self._ordered()]
+
+
+def _boxes(batch: pa.RecordBatch) -> np.ndarray:
+    """Corners x1, y1, x2, y2 of each row in single precision, NaN where unusable (see ``_corners``).
+    Infinite boxes overlap nothing by half and count as unusable."""
+    out = np.full((batch.num_rows, 4), np.nan)
+    names, pc = batch.schema.names, pa.compute
+    if "box" in names:
+        box = batch.column("box")
+        rows = np.flatnonzero(pc.fill_null(pc.list_value_length(box), 0).to_numpy(zero_copy_only=False) == 4)
+        flat = box.take(pa.array(rows)).flatten()
+        every = pa.array(np.arange(len(rows) * 2) * 2)
+        _extents(out, rows, np.full(len(rows), 2), flat.take(every), flat.take(pc.add(every, 1)))
+    if "polygon" in names:
+        polygon = batch.column("polygon")
+        size = pc.fill_null(pc.list_value_length(polygon), 0).to_numpy(zero_copy_only=False)
+        out[size > 0] = np.nan
+        points = polygon.filter(pa.array(size >= 2)).flatten()
+        lengths = pc.fill_null(pc.list_value_length(points), 0)
+        whole = pc.all(pc.greater_equal(lengths, 2)).as_py() is not False
+        if not whole:  # a point without two coordinates has none
+            points = pc.if_else(pc.greater_equal(lengths, 2), points, pa.scalar([None, None], points.type))
+        x, y = (pc.list_element(points, k) for k in (0, 1))
+        rows = np.flatnonzero(size >= 2)
+        _extents(out, rows, size[rows], x, y)
+    return out
+
+
+def _extents(out: np.ndarray, rows: np.ndarray, size: np.ndarray, x: pa.Array, y: pa.Array) -> None:
+    """Writes the extent of each row's points where it has an area; missing coordinates don't count."""
+    if not len(rows):
+        return
+    first = np.cumsum(size) - size
+    box = np.empty((len(rows), 4))
+    for axis, values in enumerate((x, y)):
+        values = values.cast(pa.float64())
+        for at, empty, extreme in ((axis, math.inf, np.minimum), (axis + 2, -math.inf, np.maximum)):
+            filled = pa.compute.fill_null(values, empty).to_numpy(zero_copy_only=False)
+            box[:, at] = extreme.reduceat(filled.astype(np.float32), first)
+    usable = (box[:, 2] > box[:, 0]) & (box[:, 3] > box[:, 1]) & np.isfinite(box).all(axis=1)
+    out[rows[usable]] = box[usable]
+
+
+#: Groups of so many lines or fewer are folded side by side.
+SIDE_BY_SIDE = 6
+
+
+def _side_by_side(first: np.ndarray, size: np.ndarray, order, confidence, boxes) -> tuple[np.ndarray, np.ndarray]:
+    """Rows kept and their positions, of groups that begin at ``first``: the n-th line of all groups at once."""
+    most = int(size.max(initial=0))
+    row = np.full((len(first), most), -1)  # by group and kept place: the line there
+    position = np.zeros((len(first), most), np.int64)
+    for n in range(most):
+        live = np.flatnonzero(size > n)
+        line = first[live] + n
+        undecided = np.ones(len(live), bool)
+        for place in range(n):
+            other = row[live, place]
+            at = np.flatnonzero(undecided & (other >= 0))
+            mine, theirs = line[at], other[at]
+            same = _overlaps(boxes[mine], boxes[theirs]) >= SAME_LINE_IOU
+            better = same & (confidence[mine] > confidence[theirs])
+            row[live[at[better]], place] = mine[better]
+            undecided[at[same]] = False
+        new = live[undecided]
+        place = (row[new] >= 0).sum(axis=1)
+        row[new, place], position[new, place] = line[undecided], order[line[undecided]]
+    kept = row >= 0
+    return row[kept], position[kept]
 
 
 def _folder(columns: list[str]):
     """The line-by-line rule over batches that are sorted by group and order."""
 
-    def emit(source: pa.RecordBatch, rows: list[tuple[int, int]]) -> pa.RecordBatch:
-        taken = source.take(pa.array([i for i, _ in rows], pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [*taken.columns, pa.array([p for _, p in rows], pa.int64())], [*columns, "position"])
+    def emit(rows: pa.RecordBatch, positions) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(positions, pa.int64())], [*columns, "position"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, kept, carried = None, _Kept(), None  # carried: kept lines of earlier batches
+        going: _Open | None = None
         for batch in batches:
-            plain = batch.select(columns)
-            here: list[tuple[int, int]] = []
-
-            def close():
-                here.extend((w[1], p) for p, _, _, w in kept.lines if w[0])
-                before = [(w[1], p) for p, _, _, w in kept.lines if not w[0]]
-                return emit(carried, before) if before else None
-
-            values = [batch.column(c).to_pylist() for c in ("_a", "_b", "_order", "_confidence", "_corners")]
-            for row, (a, b, order, confidence, box) in enumerate(zip(*values)):
-                if (a, b) != current:
-                    if (old := close()) is not None:
-                        yield old
-                    current, kept, carried = (a, b), _Kept(), None
-                kept.add(order, confidence, box, (True, row))
-            if here:
-                yield emit(plain, here)
-            # The open group goes on in the next batch: its kept lines alone stay in memory.
-            sources = [] if carried is None else [carried.take(
-                pa.array([w[1] for *_, w in kept.lines if not w[0]], pa.int64()))]
-            sources.append(plain.take(pa.array([w[1] for *_, w in kept.lines if w[0]], pa.int64())))
-            whole = pa.Table.from_batches(sources).combine_chunks().to_batches()
-            carried = whole[0] if whole else plain.slice(0, 0)
-            at = 0
-            for first in (False, True):
-                for line in kept.lines:
-                    if line[3][0] is first and len(line[3]) == 2:
-                        line[3] = (first, at, None)
-                        at += 1
-            for line in kept.lines:
-                line[3] = (False, line[3][1])
-        if kept.lines:
-            yield emit(carried, [(w[1], p) for p, _, _, w in kept.lines])
+            n = batch.num_rows
+            if not n:
+                continue
+            plain, boxes = batch.select(columns), _boxes(batch)
+            a, b, order, confidence = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("_a", "_b", "_order", "_confidence"))
+            starts = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [n]))
+            first, size = starts[:-1], np.diff(starts)
+            alone = np.ones(len(first), bool)  # groups that lie within the batch
+            if going is not None and going.key == (a[0], b[0]):
+                alone[0] = False
+                going.fold(plain, range(size[0]), order, confidence, boxes)
+                if len(first) > 1:
+                    yield emit(*going.close())
+                    going = None
+            elif going is not None:
+                yield emit(*going.close())
+                going = None
+            if alone[-1]:  # the last group may go on in the next batch
+                alone[-1] = False
+                going = _Open((a[-1], b[-1]))
+                going.fold(plain, range(first[-1], n), order, confidence, boxes)
+            few = alone & (size <= SIDE_BY_SIDE)
+            rows, positions = _side_by_side(first[few], size[few], order, confidence, boxes)
+            rows, positions = [rows], [positions]
+            for i in np.flatnonzero(alone & ~few):
+                kept, own = _Kept(), range(first[i], first[i] + size[i])
+                for line, row in zip(_plain(own, order, confidence, boxes), own):
+                    kept.add(*line, row)
+                rows.append([line[3] for line in kept.lines])
+                positions.append([line[0] for line in kept.lines])
+            rows = np.concatenate(rows).astype(np.int64)
+            if len(rows):
+                yield emit(plain.take(pa.array(rows)), np.concatenate(positions).astype(np.int64))
+        if going is not None:
+            yield emit(*going.close())
 
     return fold
 
@@ -179,12 +378,23 @@ def _overlap(a, b) -> float:
     return shared / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared)
 
 
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for rows of boxes; boxes that aren't there meet nothing."""
+    width = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])
+    height = np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
+    shared = width * height
+    union = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - shared
+    meets = (width > 0) & (height > 0)
+    return np.divide(shared, union, out=np.zeros(len(a)), where=meets)
+
+
 # ---- image variants --------------------------------------------------------------
 
-def candidate_lines(lines: DataFrame, candidates: Sequence[str] = CANDIDATES) -> DataFrame:
+def candidate_lines(lines: DataFrame, candidates: Sequence[str] = CANDIDATES,
+                    hot: int | None = HOT_LINES) -> DataFrame:
     """Lines of the wanted image variants, deduplicated within each variant."""
     wanted = lines.filter(F.col("candidate").isin(*candidates))
-    return merge_lines(wanted, [*VIEW_KEYS, "candidate"], "line_no").withColumn(
+    return merge_lines(wanted, [*VIEW_KEYS, "candidate"], "line_no", hot).withColumn(
         "line_no", F.col("position")
     ).drop("position")
 
@@ -206,12 +416,16 @@ def best_candidate(merged: DataFrame, candidates: Sequence[str] = CANDIDATES) ->
     )
 
 
-def extraction_lines(merged: DataFrame, candidates: Sequence[str] = CANDIDATES) -> DataFrame:
-    """Lines of all variants merged per view; ``line_no`` is the reading order."""
+def extraction_lines(merged: DataFrame, candidates: Sequence[str] = CANDIDATES,
+                     hot: int | None = HOT_LINES) -> DataFrame:
+    """Lines of all variants merged per view; ``line_no`` is the reading order.
+
+    ``merged`` is read once more for the search of hot groups, so a written table is best.
+    """
     rank = rank_in(F.col("candidate"), candidates)
     ordered = merged.withColumn("_seq", rank * F.lit(1 << 40) + F.col("line_no"))
     return (
-        merge_lines(ordered, VIEW_KEYS, "_seq")
+        merge_lines(ordered, VIEW_KEYS, "_seq", hot)
         .withColumn("line_no", F.col("position"))
         .drop("position", "_seq")
     )

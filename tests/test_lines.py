@@ -127,6 +127,77 @@ def test_merge_of_one_hot_text_over_many_batches(spark):
     assert sorted((r["position"], r["line_no"]) for r in got) == brute(plain)
 
 
+LINE = "product_id int, view string, line_no int, text string, confidence double, polygon array<array<double>>"
+
+
+def corner_rows(boxes):
+    return [(1, "front", seq, text, confidence, box and [[box[0], box[1]], [box[2], box[3]]])
+            for seq, text, confidence, box in boxes]
+
+
+def test_merge_of_hot_groups_cut_into_bands(spark, monkeypatch):
+    """Chains, boxes apart on either axis, huge, tiny and missing boxes; the same rows as in one piece."""
+    rng = random.Random(5)
+    boxes = []
+    for seq in range(3000):
+        x, y = rng.choice((0, 200, 400, 401, 407, 900)) + rng.randint(0, 25), 40 * rng.randint(0, 12) + rng.randint(0, 6)
+        box = (float(x), float(y), float(x + rng.choice((30, 60))), float(y + rng.choice((12, 20))))
+        if rng.random() < 0.02:
+            box = rng.choice(((0.0, 0.0, 1000.0, 600.0), (5.0, 5.0, 5.001, 5.001), None, (1.0, 1.0, 1.0, 9.0),
+                              (0.0, 0.0, float("inf"), 5.0), (float("nan"), 0.0, 4.0, 5.0)))
+        boxes.append((seq, rng.choice(("junk", "junk", "JUNK ", "other", f"rare {seq % 50}")), rng.randint(1, 99) / 100, box))
+    df = spark.createDataFrame(corner_rows(boxes), LINE)
+    monkeypatch.setattr(ev, "HOT_SHARE", 0.01)
+    usable = [b if b[3] and b[3][2] > b[3][0] and b[3][2] < 1e30 else (*b[:3], None) for b in boxes]
+    for hot in (None, 100, 1):
+        got = ev.merge_lines(df, ("product_id", "view"), "line_no", hot).collect()
+        assert sorted((r["position"], r["line_no"]) for r in got) == brute(usable)
+    key = F.xxhash64(F.lit(1), F.lower(F.trim("text")))
+    ready = df.withColumns({"_a": key, "_b": key, "_order": F.col("line_no").cast("long")})
+    assert sorted(ev._large_groups(ready, 100)) == sorted(
+        r[0] for r in ready.where("lower(trim(text)) in ('junk', 'other')").select("_a").distinct().collect())
+    bands = ev._banded(ready.where("lower(trim(text)) = 'junk'")).groupBy("_a").count().collect()
+    assert len(bands) > 20 and max(r["count"] for r in bands) < 500
+
+
+def test_merge_of_boxes_side_by_side_is_linear():
+    import time
+
+    def fold(boxes):
+        kept, begin = ev._Kept(), time.perf_counter()
+        for i, box in enumerate(boxes):
+            kept.add(i, 0.5, box, i)
+        return len(kept.lines), time.perf_counter() - begin
+
+    row = [(12.0 * i, 3.0, 12.0 * i + 10, 23.0) for i in range(8000)]
+    assert fold(row)[0] == 8000 and fold(row)[1] < 2
+    column = [(3.0, 12.0 * i, 23.0, 12.0 * i + 10) for i in range(8000)]
+    assert fold(column)[0] == 8000 and fold(column)[1] < 2
+
+
+def test_inner_thirds_of_boxes_that_may_meet_touch():
+    rng = random.Random(9)
+    met = 0
+    for _ in range(60_000):
+        a = (0.0, 0.0, rng.uniform(5, 10), rng.uniform(5, 10))
+        x, y = rng.uniform(-4, 4), rng.uniform(-4, 4)
+        b = (x, y, x + rng.uniform(4, 14), y + rng.uniform(4, 14))
+        if ev._overlap(a, b) >= 0.5:
+            met += 1
+            for low, high in ((0, 2), (1, 3)):
+                reach = ev.INNER * (a[high] - a[low] + b[high] - b[low])
+                assert abs((a[low] + a[high]) / 2 - (b[low] + b[high]) / 2) <= reach
+    assert met > 1000
+
+
+def test_merge_of_points_without_two_coordinates_and_null_points(spark):
+    rows = [(1, "front", 0, "a", 0.5, [[0.0, 0.0], [10.0, 10.0]]), (1, "front", 1, "a", 0.6, [[0.0, 0.0], None, [10.0, 10.0]]),
+            (1, "front", 2, "a", 0.7, [None, None]), (1, "front", 3, "a", 0.7, [[None, 0.0], [10.0, 9.0], [0.0, None]]),
+            (1, "front", 4, "a", 0.1, []), (1, "front", 5, "a", 0.1, None)]
+    got = ev.merge_lines(spark.createDataFrame(rows, LINE), ("product_id", "view"), "line_no", None)
+    assert sorted((r["position"], r["line_no"]) for r in got.collect()) == [(0, 3), (2, 2), (4, 4), (5, 5)]
+
+
 def test_rescale_keeps_a_box_without_polygon(spark):
     rows = [("front", None, [10.0, 10.0, 20.0, 20.0]), ("front", [[1.0, 1.0], [3.0, 5.0]], [0.0, 0.0, 9.0, 9.0]),
             ("back", None, [1.0, 2.0, 3.0, 4.0])]
@@ -162,3 +233,44 @@ def test_unreadable_field_files_are_quarantined(spark, tmp_path):
     good, bad = fj.read_fields(spark, str(tmp_path))
     assert [(r["mrp"], r["is_imported"]) for r in good.collect()] == [("20", True)]
     assert [r["record"] for r in bad.collect()] == ["not json {"] and bad.first()["source_file"].endswith("a.json")
+
+
+def test_best_line_against_brute_force(spark):
+    """Ties in similarity and confidence, tiny confidence differences, large and repeated line numbers, empty values."""
+    import re
+
+    rng = random.Random(8)
+    vocabulary = ["net", "wt", "100", "g", "mrp", "rs", "20", "\u00e9t\u00e9", "best", "before"]
+    fields, lines = [], []
+    for product in range(60):
+        values = {f: rng.choice([None, "", " ", "!!", " ".join(rng.choices(vocabulary, k=rng.randint(1, 4)))])
+                  for f in vm.TEXT_FIELDS}
+        fields.append((product, "front", *[values[f] for f in vm.TEXT_FIELDS]))
+        for n in range(rng.randint(0, 9)):
+            sure = rng.choice([0.5, 0.5, 0.5 + 2 ** -53, 1e-9, 0.99, 95.0, 0.0, None])
+            text = rng.choice(["", "!! ", " ".join(rng.choices(vocabulary, k=rng.randint(1, 6))).upper()])
+            lines.append((product, "front", rng.choice([n, n, 3, (2 << 40) + n, -n]), text, sure))
+    kinds = ", ".join(f"{f} string" for f in vm.TEXT_FIELDS)
+    got = vm.best_line(spark.createDataFrame(fields, f"product_id int, view string, {kinds}"), spark.createDataFrame(
+        lines, "product_id int, view string, line_no long, text string, confidence double"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+    def split(text):
+        return set(re.findall("[a-z0-9]+", text))
+
+    expected = []
+    for product, view, *values in fields:
+        for field, value in zip(vm.TEXT_FIELDS, values):
+            key, found = " ".join((value or "").lower().split()), []
+            for p, _, n, text, sure in lines:
+                line = " ".join(text.lower().split())
+                if p != product or not line or not sure or not key:
+                    continue
+                same = 1.0 if key in line else len(split(key) & split(line)) / len(split(key)) if split(key) else 0.0
+                if same > 0:
+                    found.append((-same, -sure, n, text.strip()))
+            if found:
+                same, sure, n, text = min(found)
+                expected.append((product, view, field, n, text, -sure, -same))
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and len(expected) > 100

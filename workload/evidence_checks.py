@@ -11,6 +11,7 @@ from packwise.operators import view_merge as vm
 from packwise.plans.inspection import inspect_lines, inspect_products
 from packwise.schemas import LABEL_FIELDS, TEXT_FIELDS
 from packwise.sources.rules import load_rules
+from packwise.sources.storage import stored
 from workload.inputs import (
     AS_OF, DUCK_CODES, DUCK_LABEL_LINES, DUCK_LINES, DUCK_VIEWS, code_scans, label_lines,
     ocr_lines, table, view_fields,
@@ -91,6 +92,40 @@ def ln_merge_dedup(spark, sf_dir):
         F.md5(F.col("text").cast("binary")).alias("text"), "confidence")
 
 
+# Six lines of a document and their variants drift over each other: a line meets some kept ones by half or
+# more and others by less, and a surer line takes a place whose next neighbours then differ. The twin folds
+# the lines of a group one by one, as the rule says.
+_CHAINS = f"""{DUCK_LINES}, drifting AS (SELECT product_id, "view", line_no // 6 AS lot, {_SEQ} * 1099511627776 + line_no AS seq,
+ confidence, CAST(10 + 30 * ((product_id + 5 * line_no + {_SEQ}) % 3) AS DOUBLE) AS x1,
+ CAST(3 * (line_no % 6) + {_SEQ} AS DOUBLE) AS y1 FROM ocr_lines),
+src AS (SELECT product_id, "view", lot, row_number() OVER (PARTITION BY product_id, "view", lot ORDER BY seq) AS n,
+ count(*) OVER (PARTITION BY product_id, "view", lot) AS size,
+ {{'pos': seq, 'seq': seq, 'c': confidence, 'x': x1, 'y': y1}} AS l FROM drifting),
+fold AS (SELECT product_id, "view", lot, n, size, [l] AS kept FROM src WHERE n = 1
+ UNION ALL SELECT product_id, "view", lot, n, size, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(kept, l)
+  WHEN l.c > kept[hit].c THEN list_concat(kept[:hit - 1], [{{'pos': kept[hit].pos, 'seq': l.seq, 'c': l.c, 'x': l.x, 'y': l.y}}],
+   kept[hit + 1:]) ELSE kept END
+ FROM (SELECT f.product_id, f."view", f.lot, s.n, f.size, f.kept, s.l, list_position([
+   (200 - abs(e.x - s.l.x)) * greatest(12 - abs(e.y - s.l.y), 0)
+   / (4800 - (200 - abs(e.x - s.l.x)) * greatest(12 - abs(e.y - s.l.y), 0)) >= 0.5 FOR e IN f.kept], true) AS hit
+  FROM fold f JOIN src s ON s.product_id = f.product_id AND s."view" = f."view" AND s.lot = f.lot AND s.n = f.n + 1))"""
+
+
+@query("ln_merge_chains", f"""WITH RECURSIVE {_CHAINS} SELECT product_id, "view", lot, e.pos AS position, e.seq AS seq, e.c AS confidence
+FROM (SELECT product_id, "view", lot, unnest(kept) AS e FROM fold WHERE n = size)""")
+def ln_merge_chains(spark, sf_dir):
+    """The merge of lines that overlap in chains: which sightings stand, and by which line."""
+    rank, line = ev.rank_in(F.col("candidate"), ev.CANDIDATES), F.col("line_no")
+    left = (10 + 30 * ((F.col("product_id") + 5 * line + rank) % 3)).cast("double")
+    top = (3 * (line % 6) + rank).cast("double")
+    lines = ocr_lines(spark, sf_dir).select(
+        "product_id", "view", F.expr("line_no div 6").alias("lot"), (rank * F.lit(1 << 40) + line).alias("seq"), "confidence",
+        F.concat(F.lit("Lot "), F.expr("line_no div 6")).alias("text"),
+        F.array(F.array(left, top), F.array(left + 200, top + 12)).alias("polygon"))
+    return ev.merge_lines(lines, ("product_id", "view"), "seq").select(
+        "product_id", "view", "lot", "position", "seq", "confidence")
+
+
 @query("ln_candidate_union", f"""WITH {_PLACED} SELECT product_id, "view", 'extraction' AS kind, count(*) AS lines,
  round(sum(confidence), 6) AS confidence FROM placed WHERE rn = 1 GROUP BY ALL
 UNION ALL SELECT p.product_id, p."view", 'visual', count(*), round(sum(confidence), 6) FROM placed p JOIN (
@@ -98,7 +133,7 @@ UNION ALL SELECT p.product_id, p."view", 'visual', count(*), round(sum(confidenc
   round(avg(confidence) * (1 + 0.1 * count(*)), 9) AS s FROM placed GROUP BY ALL) GROUP BY ALL) b
  ON b.product_id = p.product_id AND b."view" = p."view" AND b.candidate = p.candidate GROUP BY ALL""")
 def ln_candidate_union(spark, sf_dir):
-    merged = ev.candidate_lines(ocr_lines(spark, sf_dir))
+    merged = stored(ev.candidate_lines(ocr_lines(spark, sf_dir)), "variant-lines")
 
     def figures(lines, kind):
         return lines.groupBy("product_id", "view").agg(
