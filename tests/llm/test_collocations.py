@@ -58,6 +58,7 @@ def test_against_brute_force(spark, support, width, top, share, shards):
 def test_small_blocks_and_narrow_maps(spark, monkeypatch):
     """Blocks cut languages and shards anywhere, and a full map lets everything through."""
     monkeypatch.setattr(collocations, "BLOCK", 500)
+    monkeypatch.setattr(collocations, "HELD", 300)
     rows = [r for r in ROWS if r[0] not in (10, 200, 201)]
     got = collocations.collocations(docs(spark, rows), support=4)
     assert sorted(map(tuple, got.collect())) == sorted(brute([(r[2], r[1]) for r in rows], 4, 3, 2000, 50))
@@ -79,8 +80,8 @@ def test_map_has_the_bits_of_its_keys_alone(spark):
 
 def test_shard_supports_lose_no_phrase(spark):
     """A phrase below every shard's support is below the support in all."""
-    words = spark.createDataFrame([("en", 1, s, "w", c) for s, c in enumerate((1, 5, 77, 1000, 13))],
-                                  "lang string, lang_hash long, shard int, word string, count long")
+    words = spark.createDataFrame([("en", 1, s, c) for s, c in enumerate((1, 5, 77, 1000, 13))],
+                                  "lang string, lang_hash long, shard int, n long")
     for support in (1, 2, 7, 10, 1096, 5000):
         need = [r["need"] for r in collocations.shard_supports(words, support).collect()]
         assert sum(x - 1 for x in need) < support and len(need) == 5
