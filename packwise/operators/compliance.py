@@ -6,6 +6,8 @@ rule tables, so scoring adds no shuffle of the label data.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from packwise.functions import text as tx
 from packwise.schemas import RULE_INPUT, VIOLATION, with_rule_input_defaults
 from packwise.sources.rulebook import LEGAL_TEXTS
 from packwise.sources.rules import RuleSet
+from packwise.sources.storage import stored
 
 RULE_VERSION = "LMPC_3Layer_2024"
 
@@ -170,16 +173,17 @@ def effective_required() -> Column:
     )
 
 
-def with_rules(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """Label rows with defaults, keys, joined rules and the values checks read."""
-    joined = join_product(
-        join_category(with_keys(with_rule_input_defaults(df)), rules), rules
-    )
-    return joined.withColumns({
-        "rule_type_known": F.col("required").isNotNull(),
-        "mrp_plain": tx.normalize_key(F.col("mrp")),
-        "price_plain": tx.normalize_key(F.col("unit_sale_price")),
-        "quantity_digits": quantity_digits(F.col("net_quantity")),
+def with_rules(df: DataFrame, rules: RuleSet, by_value: Sequence[str] = ()) -> DataFrame:
+    """Label rows with defaults, keys, joined rules and the values checks read.
+
+    The values come first: rules are wide, and a row that has them is copied as seldom as possible.
+    What the format checks look for is found row by row, or once for each different value of the fields
+    named in ``by_value`` (see ``with_value_facts``).
+    """
+    labels = with_rule_input_defaults(df)
+    facts = {f"_facts_{f}": facts_of(f, F.col(f)) for f in FACTS if f not in by_value}
+    prepared = with_keys(with_value_facts(labels, by_value)).withColumns({
+        **facts,
         **{f"_date_{f}": tx.strip(F.col(f)) for f, _ in DATE_FIELDS},
         # One column per field, not a struct: struct parts would be computed again in
         # every rule that reads them.
@@ -187,6 +191,8 @@ def with_rules(df: DataFrame, rules: RuleSet) -> DataFrame:
         **{f"_untrue_{f}": _is_missing(f, True) for f in rules.fields["extra"]},
         **{f"_lower_{f}": _lower_text(f) for f in rules.fields["checks"]},
     })
+    return join_product(join_category(prepared, rules), rules).withColumn(
+        "rule_type_known", F.col("required").isNotNull())
 
 
 def _is_missing(field: str, truthy: bool) -> Column:
@@ -315,15 +321,91 @@ def product_mandatory(rules: RuleSet) -> Column:
     )
 
 
+# ---- what is found in a value --------------------------------------------------
+
+def quantity_digits(text: Column) -> Column:
+    """Number before the first unit, null when no number and unit stand together."""
+    return tx.extract(tx.normalize_key(text), QUANTITY, 1)
+
+
+def _is_positive(quantity: Column) -> Column:
+    number = tx.ascii_digits(F.translate(quantity_digits(quantity), ",", ".")).try_cast("double")
+    return ~F.coalesce(number <= 0, F.lit(False))
+
+
+def is_readable_date(text: Column) -> Column:
+    return tx.matches_any(F.lower(text), (*CALENDAR_DATES, SHELF_LIFE))
+
+
+#: By field what the format checks ask about its text alone.
+FACTS: dict[str, dict[str, Callable[[Column], Column]]] = {
+    "mrp": {
+        "taxes": lambda v: tx.contains_any(tx.normalize_key(v), TAX_PHRASES),
+        "currency": lambda v: tx.contains_any(tx.normalize_key(v), CURRENCY_MARKS),
+        "number": lambda v: v.rlike(r"(?U)\d"),
+    },
+    "net_quantity": {
+        "readable": lambda v: quantity_digits(v).isNotNull(),
+        "positive": _is_positive,
+    },
+    **{field: {"readable": lambda v: (tx.strip(v) == "") | is_readable_date(tx.strip(v))} for field, _ in DATE_FIELDS},
+    "consumer_care": {
+        "email": lambda v: v.rlike(EMAIL),
+        "phone": lambda v: F.length(F.regexp_replace(v, r"(?U)\D", "")) >= 10,
+    },
+    "unit_sale_price": {"unit": lambda v: tx.contains_any(tx.normalize_key(v), UNIT_PRICE_PHRASES)},
+    "manufacturer": {"long": lambda v: ~tx.has_text(v) | (F.length(tx.strip(v)) >= 10)},
+}
+
+
+def facts_of(field: str, value: Column) -> Column:
+    """The facts of a value as bits of a number; null and empty values have none."""
+    bits = F.lit(0)
+    for i, found in enumerate(FACTS[field].values()):
+        bits = bits + F.when(found(value), 1 << i).otherwise(0)
+    return F.when(tx.is_filled(value), bits).otherwise(0)
+
+
+def lacks(field: str, fact: str) -> Column:
+    """The value is given and the fact doesn't hold."""
+    bit = 1 << list(FACTS[field]).index(fact)
+    return tx.is_filled(F.col(field)) & (F.col(f"_facts_{field}").bitwiseAND(bit) == 0)
+
+
+def with_value_facts(labels: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Labels with the facts of the named fields, found once for each different value.
+
+    The values of each field are gathered (equal ones are combined before they move) and written with
+    their facts, and come back by a join: by broadcast where the written values are as small as the
+    session allows for it, else both sides are dealt by the value. For fields whose values repeat; where they are mostly
+    different, the joins cost more than the patterns.
+    """
+    unknown = [f for f in fields if f not in FACTS]
+    if unknown:
+        raise ValueError(f"no format check reads {', '.join(unknown)}")
+    if not fields:
+        return labels
+    values = labels.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("v")).select("v.*")
+    facts = F.lit(0)
+    for field in fields:
+        facts = F.when(F.col("field") == field, facts_of(field, F.col("value"))).otherwise(facts)
+    different = values.where(tx.is_filled(F.col("value"))).distinct().withColumn("facts", facts)
+    table = stored(different.select("value", "facts", "field"), "value-facts", "field")
+    for field in fields:
+        own = table.where(F.col("field") == field).select(
+            F.col("value").alias("_value"), F.col("facts").alias(f"_facts_{field}"))
+        labels = labels.join(own, F.col(field) == F.col("_value"), "left").drop("_value").withColumn(
+            f"_facts_{field}", F.coalesce(f"_facts_{field}", F.lit(0)))
+    return labels
+
+
 # ---- format checks ------------------------------------------------------------
 
 def mrp_format() -> Column:
-    mrp = F.col("mrp")
-    given = tx.is_filled(mrp)
-    plain = F.col("mrp_plain")
     return _found(
         when_violated(
-            given & ~F.col("mrp_inclusive_of_taxes") & ~tx.contains_any(plain, TAX_PHRASES),
+            lacks("mrp", "taxes") & ~F.col("mrp_inclusive_of_taxes"),
             violation(
                 rule_id="MRP_001", field="mrp", severity="high",
                 message="MRP does not clearly state that it is inclusive of all taxes",
@@ -332,13 +414,13 @@ def mrp_format() -> Column:
                 detected_value=Sql("mrp"),
             ),
         ),
-        when_violated(given & ~tx.contains_any(plain, CURRENCY_MARKS), violation(
+        when_violated(lacks("mrp", "currency"), violation(
             rule_id="MRP_002", field="mrp", severity="medium",
             message="MRP does not contain currency indicator (Rs. / ₹)",
             suggestion="Prefix price with Rs. or ₹",
             detected_value=Sql("mrp"),
         )),
-        when_violated(given & ~mrp.rlike(r"(?U)\d"), violation(
+        when_violated(lacks("mrp", "number"), violation(
             rule_id="MRP_003", field="mrp", severity="high",
             message="Could not detect a valid numeric price in MRP declaration",
             detected_value=Sql("mrp"),
@@ -346,24 +428,16 @@ def mrp_format() -> Column:
     )
 
 
-def quantity_digits(text: Column) -> Column:
-    """Number before the first unit, null when no number and unit stand together."""
-    return tx.extract(tx.normalize_key(text), QUANTITY, 1)
-
-
 def qty_format() -> Column:
-    quantity, digits = F.col("net_quantity"), F.col("quantity_digits")
-    given, readable = tx.is_filled(quantity), digits.isNotNull()
-    value = tx.ascii_digits(F.translate(digits, ",", ".")).try_cast("double")
     return _found(
-        when_violated(given & ~readable, violation(
+        when_violated(lacks("net_quantity", "readable"), violation(
             rule_id="QTY_001", field="net_quantity", severity="high",
             message="Net quantity is not in standard format (value + unit)",
             suggestion="Use standard units: g, kg, ml, L, m, cm, nos etc. "
             "Example: '200 g' or '500 ml'",
             detected_value=Sql("net_quantity"),
         )),
-        when_violated(given & readable & F.coalesce(value <= 0, F.lit(False)), violation(
+        when_violated(lacks("net_quantity", "positive"), violation(
             rule_id="QTY_002", field="net_quantity", severity="high",
             message="Net quantity value must be positive",
             detected_value=Sql("net_quantity"),
@@ -371,15 +445,10 @@ def qty_format() -> Column:
     )
 
 
-def is_readable_date(text: Column) -> Column:
-    return tx.matches_any(F.lower(text), (*CALENDAR_DATES, SHELF_LIFE))
-
-
 def date_format() -> Column:
     found = []
     for field, label in DATE_FIELDS:
-        value = F.col(f"_date_{field}")
-        found.append(when_violated((value != "") & ~is_readable_date(value), violation(
+        found.append(when_violated(lacks(field, "readable"), violation(
             rule_id=f"DATE_{field.upper()}", field=field, severity="medium",
             message=f"{label} does not appear to be in a readable date or shelf-life format",
             suggestion="Use a readable date such as 'Jan 2025', '01/2025', "
@@ -391,17 +460,14 @@ def date_format() -> Column:
 
 
 def care_format() -> Column:
-    care = F.col("consumer_care")
-    given = tx.is_filled(care)
-    digits = F.length(F.regexp_replace(care, r"(?U)\D", ""))
     return _found(
-        when_violated(given & ~care.rlike(EMAIL), violation(
+        when_violated(lacks("consumer_care", "email"), violation(
             rule_id="CARE_001", field="consumer_care", severity="high",
             message="Consumer care details must include a valid email address",
             suggestion="Email is mandatory under the Rules",
             detected_value=Sql("consumer_care"),
         )),
-        when_violated(given & (digits < 10), violation(
+        when_violated(lacks("consumer_care", "phone"), violation(
             rule_id="CARE_002", field="consumer_care", severity="medium",
             message="Consumer care details should include a contact phone / toll-free number",
             detected_value=Sql("consumer_care"),
@@ -410,10 +476,8 @@ def care_format() -> Column:
 
 
 def usp_format() -> Column:
-    price = F.col("unit_sale_price")
     exempt = F.col("is_multi_piece") | F.col("is_combination") | F.col("is_ecommerce")
-    odd = tx.is_filled(price) & ~tx.contains_any(F.col("price_plain"), UNIT_PRICE_PHRASES)
-    return _found(when_violated(~exempt & odd, violation(
+    return _found(when_violated(~exempt & lacks("unit_sale_price", "unit"), violation(
         rule_id="USP_001", field="unit_sale_price", severity="medium",
         message="Unit Sale Price does not follow the required format "
         "(e.g. Rs. X.XX per g / per kg / per ml)",
@@ -437,10 +501,9 @@ def origin_format() -> Column:
 
 
 def mfr_format() -> Column:
-    maker = F.col("manufacturer")
     legal, why = LEGAL_TEXTS["manufacturer"]
     return _found(when_violated(
-        tx.has_text(maker) & (F.length(tx.strip(maker)) < 10),
+        lacks("manufacturer", "long"),
         violation(
             rule_id="MFR_001", field="manufacturer", severity="medium",
             message="Manufacturer / Packer / Importer name & address appears incomplete",
@@ -546,10 +609,10 @@ def summary() -> Column:
         end""")
 
 
-def with_violations(df: DataFrame, rules: RuleSet) -> DataFrame:
+def with_violations(df: DataFrame, rules: RuleSet, by_value: Sequence[str] = ()) -> DataFrame:
     """Add the ordered ``violations`` array; duplicates of a field are kept."""
     # Two steps keep each generated projection small.
-    checked = with_rules(df, rules).withColumn("rule_violations", F.concat(
+    checked = with_rules(df, rules, by_value).withColumn("rule_violations", F.concat(
         presence(rules), conditional(), custom_checks(rules, "category"),
         product_mandatory(rules), custom_checks(rules, "product"),
     ))
@@ -562,15 +625,18 @@ def with_violations(df: DataFrame, rules: RuleSet) -> DataFrame:
 WORK_COLUMNS = (
     "rule_type", "required", "cat_exempted", "cat_checks", "rule_product",
     "extra_mandatory", "prod_exempted", "prod_checks", "has_product_rules",
-    "rule_type_known", "mrp_plain", "price_plain", "quantity_digits",
-    "rule_violations",
+    "rule_type_known", "rule_violations",
 )
 
 
-def check(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """Score label rows; input columns are kept, result columns are added."""
+def check(df: DataFrame, rules: RuleSet, by_value: Sequence[str] = ()) -> DataFrame:
+    """Score label rows; input columns are kept, result columns are added.
+
+    One narrow stage, unless ``by_value`` names fields (any of ``FACTS``) whose values repeat so much that
+    each different one is better checked once: labels are then read twice, and joined with what was found.
+    """
     scored = (
-        with_violations(df, rules)
+        with_violations(df, rules, by_value)
         .withColumn("severity_counts", tally("violations"))
         .withColumns({
             "score": score("severity_counts"),
@@ -583,5 +649,5 @@ def check(df: DataFrame, rules: RuleSet) -> DataFrame:
         })
     )
     done = scored.withColumn("summary", summary())
-    work = [n for n in done.columns if n.startswith(("_date_", "_blank_", "_untrue_", "_lower_"))]
+    work = [n for n in done.columns if n.startswith(("_date_", "_blank_", "_untrue_", "_lower_", "_facts_"))]
     return done.drop(*WORK_COLUMNS, *work)

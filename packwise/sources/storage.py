@@ -31,8 +31,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder: what follows reads it instead of computing it again."""
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """A written table in the shared folder, divided by the columns ``folders``: what follows reads it
+    instead of computing it again."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

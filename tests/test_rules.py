@@ -139,3 +139,25 @@ def test_too_large_rules_are_refused(spark, monkeypatch):
     monkeypatch.setattr(module, "RULE_BYTES", 10)
     with pytest.raises(ValueError, match="rules take"):
         load_rules(spark)
+
+
+def test_checks_by_value_give_the_same_rows(spark):
+    values = {"mrp": ["Rs 20", "20", None, "", "MRP Rs. 5 incl. of all taxes", "x"], "net_quantity": ["0 g", "5 kg", "g", None],
+              "mfg_date": ["soon", " 01/2026 ", " ", None], "consumer_care": ["a@b.co", "9876543210", None],
+              "manufacturer": ["ACME", " ", "ACME Foods, Plot 4"], "unit_sale_price": ["Rs 2", "Rs 2 per g", None],
+              "best_before": ["24 months from mfd", "x"], "use_by": [None, "Jan 2027"]}
+    labels = [{**GOOD, **{f: vs[(i * k) % len(vs)] for k, (f, vs) in enumerate(values.items(), 1)}} for i in range(120)]
+    schema = "id int, " + ", ".join(f"{f} string" for f in sorted({*GOOD, *values}))
+    rows = [(i, *[x.get(f) if isinstance(x.get(f), (str, type(None))) else str(x[f]) for f in sorted({*GOOD, *values})])
+            for i, x in enumerate(labels)]
+    df, rules = spark.createDataFrame(rows, schema), load_rules(spark)
+    plain = c.check(df, rules)
+    for fields in (("mrp",), tuple(c.FACTS)):
+        other = c.check(df, rules, fields)
+        assert other.columns == plain.columns
+        assert sorted(map(str, other.collect())) == sorted(map(str, plain.collect()))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (plain, c.check(df, rules, tuple(c.FACTS)))]
+    assert [(c.EMAIL in p, c.SHELF_LIFE in p, "incl\\." in p) for p in plans] == [(True,) * 3, (False,) * 3]
+    with pytest.raises(ValueError, match="brand"):
+        c.check(df, rules, ("brand",))
+    assert c.check(df.limit(0), rules, ("mrp",)).count() == 0

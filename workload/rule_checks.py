@@ -424,6 +424,18 @@ _result_query(
 )
 
 
+#: Fields of which the labels here repeat a few values.
+REPEATED = ("mrp", "net_quantity", "mfg_date", "best_before", "use_by", "unit_sale_price")
+
+
+@query("re_check_by_value", f"""WITH {DUCK_RESULT} SELECT inspection_id, is_compliant, score, n AS n_violations, rule_ids FROM result""")
+def re_check_by_value(spark, sf_dir):
+    """The whole score, with the patterns run once for each different value of some fields."""
+    return c.check(label_fields(spark, sf_dir), load_rules(spark), REPEATED).select(
+        "inspection_id", "is_compliant", "score", F.size("violations").cast("bigint").alias("n_violations"),
+        F.array_join(F.transform("violations", lambda v: v["rule_id"]), ",").alias("rule_ids"))
+
+
 @query("src_rules", f"""WITH {DUCK_KEYED} SELECT rule_type, count(*) AS labels,
  max((SELECT count(*) FROM required o WHERE o.rule_type = k.rule_type)) AS required_fields,
  max((SELECT count(*) FROM exempt x WHERE x.rule_type = k.rule_type)) AS exempted_fields,
