@@ -181,9 +181,9 @@ def with_rules(df: DataFrame, rules: RuleSet, by_value: Sequence[str] = ()) -> D
     named in ``by_value`` (see ``with_value_facts``).
     """
     labels = with_rule_input_defaults(df)
-    facts = {f"_facts_{f}": facts_of(f, F.col(f)) for f in FACTS if f not in by_value}
+    forms = {f"_form_{f}": form(F.col(f)) for f, form in FORMS.items() if f not in by_value}
     prepared = with_keys(with_value_facts(labels, by_value)).withColumns({
-        **facts,
+        **forms,
         **{f"_date_{f}": tx.strip(F.col(f)) for f, _ in DATE_FIELDS},
         # One column per field, not a struct: struct parts would be computed again in
         # every rule that reads them.
@@ -328,8 +328,8 @@ def quantity_digits(text: Column) -> Column:
     return tx.extract(tx.normalize_key(text), QUANTITY, 1)
 
 
-def _is_positive(quantity: Column) -> Column:
-    number = tx.ascii_digits(F.translate(quantity_digits(quantity), ",", ".")).try_cast("double")
+def _is_positive(digits: Column) -> Column:
+    number = tx.ascii_digits(F.translate(digits, ",", ".")).try_cast("double")
     return ~F.coalesce(number <= 0, F.lit(False))
 
 
@@ -337,39 +337,47 @@ def is_readable_date(text: Column) -> Column:
     return tx.matches_any(F.lower(text), (*CALENDAR_DATES, SHELF_LIFE))
 
 
-#: By field what the format checks ask about its text alone.
+#: The form of a field's text that its facts look at.
+FORMS: dict[str, Callable[[Column], Column]] = {
+    "mrp": tx.normalize_key, "net_quantity": quantity_digits, "unit_sale_price": tx.normalize_key,
+    "manufacturer": tx.strip, "consumer_care": lambda v: v, **{field: tx.strip for field, _ in DATE_FIELDS},
+}
+#: By field what the format checks ask about a text that is given, in its form.
 FACTS: dict[str, dict[str, Callable[[Column], Column]]] = {
     "mrp": {
-        "taxes": lambda v: tx.contains_any(tx.normalize_key(v), TAX_PHRASES),
-        "currency": lambda v: tx.contains_any(tx.normalize_key(v), CURRENCY_MARKS),
+        "taxes": lambda v: tx.contains_any(v, TAX_PHRASES),
+        "currency": lambda v: tx.contains_any(v, CURRENCY_MARKS),
         "number": lambda v: v.rlike(r"(?U)\d"),
     },
     "net_quantity": {
-        "readable": lambda v: quantity_digits(v).isNotNull(),
+        "readable": lambda v: v.isNotNull(),
         "positive": _is_positive,
     },
-    **{field: {"readable": lambda v: (tx.strip(v) == "") | is_readable_date(tx.strip(v))} for field, _ in DATE_FIELDS},
+    **{field: {"readable": lambda v: (v == "") | is_readable_date(v)} for field, _ in DATE_FIELDS},
     "consumer_care": {
         "email": lambda v: v.rlike(EMAIL),
         "phone": lambda v: F.length(F.regexp_replace(v, r"(?U)\D", "")) >= 10,
     },
-    "unit_sale_price": {"unit": lambda v: tx.contains_any(tx.normalize_key(v), UNIT_PRICE_PHRASES)},
-    "manufacturer": {"long": lambda v: ~tx.has_text(v) | (F.length(tx.strip(v)) >= 10)},
+    "unit_sale_price": {"unit": lambda v: tx.contains_any(v, UNIT_PRICE_PHRASES)},
+    "manufacturer": {"long": lambda v: (v == "") | (F.length(v) >= 10)},
 }
 
 
 def facts_of(field: str, value: Column) -> Column:
-    """The facts of a value as bits of a number; null and empty values have none."""
-    bits = F.lit(0)
+    """The facts of a value as bits of a number."""
+    form, bits = FORMS[field](value), F.lit(0)
     for i, found in enumerate(FACTS[field].values()):
-        bits = bits + F.when(found(value), 1 << i).otherwise(0)
-    return F.when(tx.is_filled(value), bits).otherwise(0)
+        bits = bits + F.when(found(form), 1 << i).otherwise(0)
+    return bits
 
 
-def lacks(field: str, fact: str) -> Column:
+def lacks(field: str, fact: str, by_value: Sequence[str]) -> Column:
     """The value is given and the fact doesn't hold."""
-    bit = 1 << list(FACTS[field]).index(fact)
-    return tx.is_filled(F.col(field)) & (F.col(f"_facts_{field}").bitwiseAND(bit) == 0)
+    if field in by_value:
+        found = F.col(f"_facts_{field}").bitwiseAND(1 << list(FACTS[field]).index(fact)) != 0
+    else:
+        found = FACTS[field][fact](F.col(f"_form_{field}"))
+    return tx.is_filled(F.col(field)) & ~found
 
 
 def with_value_facts(labels: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -402,10 +410,10 @@ def with_value_facts(labels: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 # ---- format checks ------------------------------------------------------------
 
-def mrp_format() -> Column:
+def mrp_format(by_value: Sequence[str] = ()) -> Column:
     return _found(
         when_violated(
-            lacks("mrp", "taxes") & ~F.col("mrp_inclusive_of_taxes"),
+            lacks("mrp", "taxes", by_value) & ~F.col("mrp_inclusive_of_taxes"),
             violation(
                 rule_id="MRP_001", field="mrp", severity="high",
                 message="MRP does not clearly state that it is inclusive of all taxes",
@@ -414,13 +422,13 @@ def mrp_format() -> Column:
                 detected_value=Sql("mrp"),
             ),
         ),
-        when_violated(lacks("mrp", "currency"), violation(
+        when_violated(lacks("mrp", "currency", by_value), violation(
             rule_id="MRP_002", field="mrp", severity="medium",
             message="MRP does not contain currency indicator (Rs. / ₹)",
             suggestion="Prefix price with Rs. or ₹",
             detected_value=Sql("mrp"),
         )),
-        when_violated(lacks("mrp", "number"), violation(
+        when_violated(lacks("mrp", "number", by_value), violation(
             rule_id="MRP_003", field="mrp", severity="high",
             message="Could not detect a valid numeric price in MRP declaration",
             detected_value=Sql("mrp"),
@@ -428,16 +436,16 @@ def mrp_format() -> Column:
     )
 
 
-def qty_format() -> Column:
+def qty_format(by_value: Sequence[str] = ()) -> Column:
     return _found(
-        when_violated(lacks("net_quantity", "readable"), violation(
+        when_violated(lacks("net_quantity", "readable", by_value), violation(
             rule_id="QTY_001", field="net_quantity", severity="high",
             message="Net quantity is not in standard format (value + unit)",
             suggestion="Use standard units: g, kg, ml, L, m, cm, nos etc. "
             "Example: '200 g' or '500 ml'",
             detected_value=Sql("net_quantity"),
         )),
-        when_violated(lacks("net_quantity", "positive"), violation(
+        when_violated(lacks("net_quantity", "positive", by_value), violation(
             rule_id="QTY_002", field="net_quantity", severity="high",
             message="Net quantity value must be positive",
             detected_value=Sql("net_quantity"),
@@ -445,10 +453,10 @@ def qty_format() -> Column:
     )
 
 
-def date_format() -> Column:
+def date_format(by_value: Sequence[str] = ()) -> Column:
     found = []
     for field, label in DATE_FIELDS:
-        found.append(when_violated(lacks(field, "readable"), violation(
+        found.append(when_violated(lacks(field, "readable", by_value), violation(
             rule_id=f"DATE_{field.upper()}", field=field, severity="medium",
             message=f"{label} does not appear to be in a readable date or shelf-life format",
             suggestion="Use a readable date such as 'Jan 2025', '01/2025', "
@@ -459,15 +467,15 @@ def date_format() -> Column:
     return _found(*found)
 
 
-def care_format() -> Column:
+def care_format(by_value: Sequence[str] = ()) -> Column:
     return _found(
-        when_violated(lacks("consumer_care", "email"), violation(
+        when_violated(lacks("consumer_care", "email", by_value), violation(
             rule_id="CARE_001", field="consumer_care", severity="high",
             message="Consumer care details must include a valid email address",
             suggestion="Email is mandatory under the Rules",
             detected_value=Sql("consumer_care"),
         )),
-        when_violated(lacks("consumer_care", "phone"), violation(
+        when_violated(lacks("consumer_care", "phone", by_value), violation(
             rule_id="CARE_002", field="consumer_care", severity="medium",
             message="Consumer care details should include a contact phone / toll-free number",
             detected_value=Sql("consumer_care"),
@@ -475,9 +483,9 @@ def care_format() -> Column:
     )
 
 
-def usp_format() -> Column:
+def usp_format(by_value: Sequence[str] = ()) -> Column:
     exempt = F.col("is_multi_piece") | F.col("is_combination") | F.col("is_ecommerce")
-    return _found(when_violated(~exempt & lacks("unit_sale_price", "unit"), violation(
+    return _found(when_violated(~exempt & lacks("unit_sale_price", "unit", by_value), violation(
         rule_id="USP_001", field="unit_sale_price", severity="medium",
         message="Unit Sale Price does not follow the required format "
         "(e.g. Rs. X.XX per g / per kg / per ml)",
@@ -500,10 +508,10 @@ def origin_format() -> Column:
     ))
 
 
-def mfr_format() -> Column:
+def mfr_format(by_value: Sequence[str] = ()) -> Column:
     legal, why = LEGAL_TEXTS["manufacturer"]
     return _found(when_violated(
-        lacks("manufacturer", "long"),
+        lacks("manufacturer", "long", by_value),
         violation(
             rule_id="MFR_001", field="manufacturer", severity="medium",
             message="Manufacturer / Packer / Importer name & address appears incomplete",
@@ -617,8 +625,8 @@ def with_violations(df: DataFrame, rules: RuleSet, by_value: Sequence[str] = ())
         product_mandatory(rules), custom_checks(rules, "product"),
     ))
     return checked.withColumn("violations", F.concat(
-        F.col("rule_violations"), mrp_format(), qty_format(), date_format(),
-        care_format(), usp_format(), origin_format(), mfr_format(), font_size(),
+        F.col("rule_violations"), mrp_format(by_value), qty_format(by_value), date_format(by_value),
+        care_format(by_value), usp_format(by_value), origin_format(), mfr_format(by_value), font_size(),
     ))
 
 
@@ -649,5 +657,5 @@ def check(df: DataFrame, rules: RuleSet, by_value: Sequence[str] = ()) -> DataFr
         })
     )
     done = scored.withColumn("summary", summary())
-    work = [n for n in done.columns if n.startswith(("_date_", "_blank_", "_untrue_", "_lower_", "_facts_"))]
+    work = [n for n in done.columns if n.startswith(("_date_", "_blank_", "_untrue_", "_lower_", "_facts_", "_form_"))]
     return done.drop(*WORK_COLUMNS, *work)
