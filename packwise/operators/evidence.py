@@ -461,6 +461,22 @@ def rescale_boxes(lines: DataFrame, views: DataFrame) -> DataFrame:
     )
 
 
+def restore_boxes(lines: DataFrame, views: DataFrame) -> DataFrame:
+    """Polygons as they lie on the original photo, whatever was done to it before it was read.
+
+    ``views`` has a row a view with ``steps`` (``geometry.STEPS``), the resizes, turns and fits in their order. They are
+    composed to one map a view, before the join; a line without polygon is mapped by the corners of its ``box``.
+    Views without steps keep their points.
+    """
+    ways = views.select(*VIEW_KEYS, g.way_back(F.col("steps")).alias("_way"))
+    shape = F.col("polygon")
+    if "box" in lines.columns:
+        shape = F.when(F.size(shape) > 0, shape).when(F.size("box") == 4, g.box_polygon(F.col("box"))).otherwise(shape)
+    mapped = F.when(F.col("_way").isNull(), shape).otherwise(g.mapped_back(shape, F.col("_way")))
+    out = lines.join(ways, list(VIEW_KEYS), "left").withColumn("polygon", mapped).drop("_way")
+    return out.withColumn("box", g.rounded_box(F.col("polygon"))) if "box" in lines.columns else out
+
+
 # ---- product text and gates -------------------------------------------------------
 
 def raw_text(lines: DataFrame) -> DataFrame:

@@ -274,3 +274,39 @@ def test_best_line_against_brute_force(spark):
                 same, sure, n, text = min(found)
                 expected.append((product, view, field, n, text, -sure, -same))
     assert sorted(map(tuple, got.collect())) == sorted(expected) and len(expected) > 100
+
+
+def test_way_back_equals_step_by_step(spark):
+    """Random chains of steps, clipped points, steps that lack what they need."""
+    from packwise.functions import geometry as g
+
+    def undo(point, step):
+        kind, w, h, scale, tw, th = step
+        x, y = point
+        if kind == "resize" and w and scale:
+            return min(max(x / scale, 0), w - 1), min(max(y / scale, 0), h - 1)
+        if kind == "turn" and w:
+            return w - 1 - y, x
+        if kind == "fit" and w and tw:
+            return min(max(x * (w / tw), 0), w), min(max(y * (h / th), 0), h)
+        return x, y
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        steps = [(rng.choice(("resize", "turn", "fit", "other")), rng.choice((100.0, 64.0, None)), 50.0,
+                  rng.choice((0.5, 2.0, 0.3, None)), rng.choice((40.0, None)), 80.0) for _ in range(rng.randint(0, 5))]
+        points = [[rng.uniform(-20, 150), rng.uniform(-20, 150)] for _ in range(3)] + [[1.0]]
+        rows.append((i, rng.choice([steps, steps, None]) if i else None, points))
+    df = spark.createDataFrame(rows, f"i int, steps {g.STEPS}, polygon array<array<double>>")
+    for i, mapped in df.select("i", g.mapped_back(F.col("polygon"), g.way_back(F.col("steps")))).collect():
+        expected = [tuple(p) for p in rows[i][2][:3]]
+        for step in reversed(rows[i][1] or []):
+            expected = [undo(p, step) for p in expected]
+        assert np.allclose(mapped, expected)
+    lines = spark.createDataFrame([(1, "front", None, [1.0, 2.0, 5.0, 4.0]), (2, "front", [[1.0, 2.0]], None)],
+                                  "product_id int, view string, polygon array<array<double>>, box array<double>")
+    views = spark.createDataFrame([(1, "front", [("turn", 10.0, 20.0, None, None, None)])],
+                                  f"product_id int, view string, steps {g.STEPS}")
+    got = {r["product_id"]: r for r in ev.restore_boxes(lines, views).collect()}
+    assert got[1]["box"] == [5.0, 1.0, 7.0, 5.0] and got[2]["polygon"] == [[1.0, 2.0]]

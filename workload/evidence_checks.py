@@ -170,6 +170,49 @@ def ln_box_rescale(spark, sf_dir):
         F.col("box")[0].alias("x1"), F.col("box")[3].alias("y2"))
 
 
+# Each view's photo was resized, turned, both, or turned, resized and fitted; the twin undoes the steps one after
+# the other. All numbers are exact in binary.
+_BACK = """back AS (SELECT product_id, "view", candidate, CAST(line_no AS BIGINT) AS line_no, product_id % 5 AS kind, x1, y1, x2, y2,
+ CAST(128 + product_id % 64 AS DOUBLE) AS w, CAST(1024 + product_id % 512 AS DOUBLE) AS h FROM ocr_lines),
+corners AS (SELECT *, unnest([{'c': 1, 'x': x1, 'y': y1}, {'c': 2, 'x': x2, 'y': y2}]) AS p FROM back),
+first_undone AS (SELECT * EXCLUDE (p, x1, y1, x2, y2), p.c AS c,
+ CASE WHEN kind = 1 THEN greatest(0, least(w - 1, p.x / 0.5)) WHEN kind IN (2, 3) THEN w - 1 - p.y
+      WHEN kind = 4 THEN greatest(0, least(2 * w, p.x * (2 * w / 64))) ELSE p.x END AS x,
+ CASE WHEN kind = 1 THEN greatest(0, least(h - 1, p.y / 0.5)) WHEN kind IN (2, 3) THEN p.x
+      WHEN kind = 4 THEN greatest(0, least(2 * h, p.y * (2 * h / 256))) ELSE p.y END AS y FROM corners),
+second_undone AS (SELECT * EXCLUDE (x, y),
+ CASE WHEN kind = 3 THEN greatest(0, least(w - 1, x / 0.25)) WHEN kind = 4 THEN greatest(0, least(w - 1, x / 2)) ELSE x END AS x,
+ CASE WHEN kind = 3 THEN greatest(0, least(h - 1, y / 0.25)) WHEN kind = 4 THEN greatest(0, least(h - 1, y / 2)) ELSE y END AS y
+ FROM first_undone),
+third_undone AS (SELECT * EXCLUDE (x, y), CASE WHEN kind = 4 THEN w - 1 - y ELSE x END AS x,
+ CASE WHEN kind = 4 THEN x ELSE y END AS y FROM second_undone)"""
+
+
+@query("ln_box_restore", f"""WITH {DUCK_LINES}, {_BACK} SELECT product_id, "view", candidate, line_no,
+ round(min(x), 6) AS x1, round(min(y), 6) AS y1, round(max(x), 6) AS x2, round(max(y), 6) AS y2 FROM third_undone GROUP BY ALL""")
+def ln_box_restore(spark, sf_dir):
+    """Boxes through every kind of recorded step; each fifth product's photos were read as they are."""
+    lines = ocr_lines(spark, sf_dir)
+    width = (128 + F.col("product_id") % 64).cast("double")
+    height = (1024 + F.col("product_id") % 512).cast("double")
+
+    def step(kind, scale=None, to=(None, None), times=1):
+        sides = dict(zip(("to_width", "to_height"), to))
+        return F.struct(F.lit(kind).alias("kind"), (width * times).alias("width"), (height * times).alias("height"),
+                        F.lit(scale).cast("double").alias("scale"), *[F.lit(v).cast("double").alias(k) for k, v in sides.items()])
+
+    kind = F.col("product_id") % 5
+    steps = (F.when(kind == 1, F.array(step("resize", 0.5))).when(kind == 2, F.array(step("turn")))
+             .when(kind == 3, F.array(step("resize", 0.25), step("turn")))
+             .when(kind == 4, F.array(step("turn"), step("resize", 2.0), step("fit", to=(64, 256), times=2))))
+    views = lines.select("product_id", "view").distinct().withColumn("steps", steps)
+    xs, ys = F.transform("polygon", lambda p: p[0]), F.transform("polygon", lambda p: p[1])
+    sides = {"x1": F.array_min(xs), "y1": F.array_min(ys), "x2": F.array_max(xs), "y2": F.array_max(ys)}
+    return ev.restore_boxes(lines, views).select(
+        "product_id", "view", "candidate", F.col("line_no").cast("bigint").alias("line_no"),
+        *[F.round(value, 6).alias(name) for name, value in sides.items()])
+
+
 @query("ln_raw_text", L + """SELECT product_id, md5(string_agg('[' || "view" || '] ' || trim(text), chr(10) ORDER BY
  CASE "view" WHEN 'front' THEN 0 WHEN 'back' THEN 1 ELSE 2 END, line_no)) AS raw_text
 FROM ocr_lines WHERE candidate = 'enhanced' AND trim(text) <> '' GROUP BY product_id""")
