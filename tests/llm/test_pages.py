@@ -1,7 +1,15 @@
 """Main text and WARC derivatives."""
 
+import gzip
 import hashlib
+import http.client
+import io
+import itertools
 import json
+import zlib
+from collections import Counter
+
+import zstandard
 
 from packwise.llm import site_tree, warc
 from packwise.llm.html_blocks import read
@@ -149,3 +157,97 @@ def test_responses_and_derivatives_of_pages(spark):
     assert warc.derive(warc.responses(pages(spark, []))).count() == 0
     odd = spark.createDataFrame([(None,), (bytearray(b"junk"),)], "record binary")
     assert [r["warc_type"] for r in warc.derive(odd).collect()] == ["unreadable"]
+
+
+# Bodies as servers send them, against the standard library's own reading of the same response
+
+
+def sent(body, headers, **fields):
+    block = b"HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode() + b"\r\n" + body
+    named = {"WARC-Record-ID": "<urn:x>", "WARC-Target-URI": "http://a/b", **fields}
+    return warc.build("response", list(named.items()), block), block
+
+
+def chunks(body, sizes=(1, 7, 64)):
+    out, at = b"", 0
+    for size in itertools.cycle(sizes):
+        if at >= len(body):
+            return out + b"0\r\nTrailer: x\r\n\r\n"
+        piece = body[at:at + size]
+        out += f"{len(piece):x};note=1\r\n".encode() + piece + b"\r\n"
+        at += size
+
+
+class Socket:
+    def __init__(self, data):
+        self.data = data
+
+    def makefile(self, *_):
+        return io.BytesIO(self.data)
+
+
+def test_coded_bodies_against_http_client():
+    story = ("r\u00e9sum\u00e9 0 \n" * 200).encode()
+    codings = {"": lambda b: b, "gzip": gzip.compress, "x-gzip": lambda b: gzip.compress(b[:99]) + gzip.compress(b[99:]),
+               "deflate": zlib.compress, "zstd": zstandard.compress}
+    for coding, code in codings.items():
+        for chunked in (False, True):
+            body = code(story)
+            headers = [("Content-Type", "text/plain; charset=utf-8")] + ([("Content-Encoding", coding)] if coding else [])
+            if chunked:
+                body, headers = chunks(body), [*headers, ("Transfer-Encoding", "Chunked")]
+            record, block = sent(body, headers)
+            meta, conversion = warc.derived(record)
+            assert (meta[0], conversion[0]) == ("metadata", "conversion")
+            assert warc.split_head(conversion[10])[1].removesuffix(b"\r\n\r\n") == story
+            response = http.client.HTTPResponse(Socket(block))
+            response.begin()
+            assert hashlib.sha256(code(story)).digest() == hashlib.sha256(response.read()).digest()
+    stored_plain, _ = sent(story, [("Content-Type", "text/plain"), ("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")])
+    assert story in warc.derived(stored_plain)[1][10]
+    raw, _ = sent(zlib.compress(story)[2:-4], [("Content-Type", "text/plain"), ("Content-Encoding", "deflate")])
+    assert story in warc.derived(raw)[1][10]
+
+
+def test_hostile_headers_and_bodies_end_no_task(monkeypatch):
+    for charset in ("idna", "undefined", "utf\0-8", "hex", "rot13", "no-such", "", "x" * 9999):
+        record, _ = sent(b"<p>fine", [("Content-Type", f"text/html; charset={charset}")])
+        assert b"\r\n\r\nfine\r\n" in warc.derived(record)[1][10]
+    long = warc.build("response", [], b"HTTP/1.1 200 OK\r\n\r\nx").replace(b"Content-Length: ", b"Content-Length: " + b"9" * 5000)
+    assert [r[0] for r in warc.derived(long)] == ["unreadable"]
+    cut = gzip.compress(b"x" * 9999)
+    for body, headers, reason in (
+            (b"\x89PNG", [("Content-Type", "image/png")], "not text: image/png"), (b"a\0b", [], "not text"),
+            (cut[:20], [("Content-Encoding", "gzip")], "breaks off"), (cut[:15] + b"\xff" * 20, [("Content-Encoding", "gzip")], ""),
+            (b"x", [("Content-Encoding", "br")], "content coding br"), (b"zz", [("Content-Encoding", "deflate")], "coding")):
+        record, _ = sent(body, headers)
+        meta, bad = warc.derived(record)
+        assert (meta[0], bad[0], bad[2]) == ("metadata", "unreadable", "<urn:x>") and reason in bad[9] and bad[10] == record
+    monkeypatch.setattr(warc, "MOST", 5000)
+    assert "over 5000" in warc.derived(sent(cut, [("Content-Encoding", "gzip")])[0])[1][9]
+
+
+def test_large_bodies_inflate_whole():
+    body = b"x" * (5 * warc.PIECE + 17)
+    assert warc.uncoded(gzip.compress(body), "gzip") == body == warc.uncoded(zlib.compress(body, 1), "deflate")
+    assert warc.uncoded(zstandard.compress(body), "zstd") == body
+
+
+def test_records_of_files(spark, tmp_path):
+    records = [sent(f"<p>page {i}".encode() * i, [])[0] for i in range(7)]
+    assert [list(warc.records_of(x)) for x in (b"".join(records), b"".join(map(gzip.compress, records)),
+                                              gzip.compress(b"".join(records)))] == [records] * 3
+    broken = b"".join(map(gzip.compress, records[:3])) + gzip.compress(records[3])[:-9]
+    got = list(warc.records_of(broken))
+    assert got[:3] == records[:3] and len(got) == 4
+    assert list(warc.records_of(b"")) == [] and list(warc.records_of(b"junk")) == [b"junk"]
+    assert list(warc.records_of(records[0] + b"junk\r\n\r\n")) == [records[0], b"junk\r\n\r\n"]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "y.warc").write_bytes(b"".join(records[:2]) + b"junk")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    read = warc.read_files(spark, str(tmp_path))
+    assert sorted((r["path"][-6:], r["place"], bytes(r["record"])) for r in read.collect()) == sorted(
+        [("arc.gz", i, r) for i, r in enumerate(records)] + [("y.warc", 0, records[0]), ("y.warc", 1, records[1]), ("y.warc", 2, b"junk")])
+    kinds = Counter(r["warc_type"] for r in warc.derive(read).collect())
+    assert kinds == {"metadata": 9, "conversion": 9, "unreadable": 1}
