@@ -39,7 +39,7 @@ SHARDS = 3
 ROUNDS = (256, 4, 1)
 FILTER_BITS = 27
 #: Bytes of text that a task counts at once, and rows of counts that it brings together before they move.
-BLOCK, HELD = 2 << 20, 100_000
+BLOCK, HELD = 1 << 20, 40_000
 #: Bits of one row of a bit map, as ``bitmap_construct_agg`` makes them (2^15).
 ROW_BITS = 1 << 15
 
