@@ -550,29 +550,46 @@ VERIFICATION = {
 }
 
 
-def view_text(lines: DataFrame) -> DataFrame:
-    """Lowered text of a view in reading order."""
-    parts = F.array_sort(F.collect_list(F.struct(
-        "line_no", F.coalesce(tx.strip(F.col("text")), F.lit("")).alias("text")
-    )))
-    return lines.groupBy(*VIEW_KEYS).agg(
-        F.lower(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("view_text")
-    )
+def printed_values(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of wanted(product_id, view, value) whose value stands in the view's lowered text.
+
+    The text is that of the lines in order, stripped and joined by blanks, but isn't put together: a value without
+    a blank stands in one line, and one with k blanks reaches over k line ends at most. So a line is looked
+    through with the beginnings of the next lines behind it, as many and as long as the values can need, and a value counts
+    where it begins in the line itself. Lines meet the different values of their view, and hits are
+    combined before they move.
+    """
+    blanks = F.size(F.split("value", " ")) - 1
+    most = wanted.agg(F.max(blanks).alias("blanks"), F.max(F.char_length("value")).alias("chars")).first()
+    reach, chars = most["blanks"] or 0, most["chars"] or 0
+    own = lines.select(*VIEW_KEYS, "line_no", F.coalesce(tx.strip(F.col("text")), F.lit("")).alias("_text"))
+    piece = F.lower("_text")
+    if reach:
+        order = Window.partitionBy(*VIEW_KEYS).orderBy("line_no", "_text").rowsBetween(1, reach)
+        ahead = F.collect_list(F.left(F.lower("_text"), F.lit(chars))).over(order)
+        own = own.withColumn("_ahead", ahead)
+        piece = F.array_join(F.concat(F.array(piece), F.col("_ahead")), " ")
+    seen = own.select(*VIEW_KEYS, piece.alias("_piece"), F.char_length(F.lower("_text")).alias("_size"))
+    at = F.call_function("locate", F.col("value"), F.col("_piece"))
+    found = seen.join(wanted.distinct(), list(VIEW_KEYS)).where((at > 0) & (at <= F.col("_size")))
+    return found.select(*VIEW_KEYS, "value").distinct()
 
 
 def verify_codes(codes: DataFrame, lines: DataFrame) -> DataFrame:
     """QR codes count as decoded; barcodes are looked up in the view's text."""
-    joined = codes.join(view_text(lines), list(VIEW_KEYS), "left")
-    value = F.lower(tx.strip(F.col("data")))
-    printed = (value != "") & F.coalesce(F.contains("view_text", value), F.lit(False))
+    is_qr = F.coalesce(F.col("type").startswith("QR"), F.lit(False))
+    valued = codes.withColumn("_value", F.lower(tx.strip(F.col("data"))))
+    wanted = valued.where(~is_qr & (F.col("_value") != "")).select(*VIEW_KEYS, F.col("_value").alias("value"))
+    printed = printed_values(wanted, lines).select(*VIEW_KEYS, F.col("value").alias("_value"), F.lit(True).alias("_printed"))
+    joined = valued.join(printed, [*VIEW_KEYS, "_value"], "left")
     status = (
-        F.when(F.col("type").startswith("QR"), "DECODED")
-        .when(printed, "LABEL_MATCH").otherwise("NO_OCR_MATCH")
+        F.when(is_qr, "DECODED")
+        .when(F.col("_printed"), "LABEL_MATCH").otherwise("NO_OCR_MATCH")
     )
     message = F.lit(None).cast("string")
     for name, text in VERIFICATION.items():
         message = F.when(F.col("status") == name, text).otherwise(message)
-    return joined.withColumn("status", status).withColumn("message", message).drop("view_text")
+    return joined.withColumn("status", status).withColumn("message", message).select(*codes.columns, "status", "message")
 
 
 def rollup_codes(views: DataFrame, codes: DataFrame) -> DataFrame:

@@ -310,3 +310,31 @@ def test_way_back_equals_step_by_step(spark):
                                   f"product_id int, view string, steps {g.STEPS}")
     got = {r["product_id"]: r for r in ev.restore_boxes(lines, views).collect()}
     assert got[1]["box"] == [5.0, 1.0, 7.0, 5.0] and got[2]["polygon"] == [[1.0, 2.0]]
+
+
+def test_codes_in_a_view_text_that_is_never_put_together(spark):
+    """Values over line ends, at ends of cut lines, in empty lines, of views without lines; QR codes, nulls, blanks."""
+    rng = random.Random(12)
+    lines, codes = [], []
+    for product in range(40):
+        own = [" ".join(rng.choices(["ab", "AB c", "c", "", "abcabc", "\u00e9", "8901234567890"], k=rng.randint(0, 3)))
+               for _ in range(rng.randint(0, 6))]
+        lines += [(product, "front", n * 10 % 7, rng.choice([text, text, f"  {text}\t", None])) for n, text in enumerate(own)]
+        for place in range(25):
+            words = rng.choices(["ab", "c", "bc", "a", "\u00c9", "abcabc", "8901234567890", ""], k=rng.randint(1, 5))
+            codes.append((product, "front", place, rng.choice(["EAN13", "EAN13", "EAN13", "QRCODE", None]),
+                          rng.choice([" ".join(words), "".join(words), None, " "])))
+    got = ev.verify_codes(
+        spark.createDataFrame(codes, "product_id int, view string, position int, type string, data string"),
+        spark.createDataFrame(lines, "product_id int, view string, line_no int, text string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == plan.count("specifiedwindowframe(RowFrame, 1,")
+    seen = set()
+    for r in got.collect():
+        text = " ".join(t for _, t in sorted((n, (t or "").strip()) for p, _, n, t in lines if p == r["product_id"])).lower()
+        value = (r["data"] or "").strip().lower()
+        expected = "DECODED" if (r["type"] or "").startswith("QR") else (
+            "LABEL_MATCH" if value and value in text else "NO_OCR_MATCH")
+        assert r["status"] == expected and r["message"] == ev.VERIFICATION[expected]
+        seen.add((expected, " " in value))
+    assert len(seen) == 6 and got.count() == len(codes)

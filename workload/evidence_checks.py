@@ -269,6 +269,22 @@ def code_verify(spark, sf_dir):
         "product_id", "view", "type", "data", "status", "message")
 
 
+@query("code_verify_all", f"""WITH {_PASSED}, t AS (SELECT product_id, "view", lower(string_agg(trim(text), ' ' ORDER BY line_no, trim(text))) AS txt
+ FROM ocr_lines GROUP BY ALL), pairs AS (SELECT *, CASE WHEN position % 3 = 0 THEN data || ' ' || data WHEN position % 3 = 1
+ THEN ' ' || data || '. ' || data ELSE data END AS read FROM passed)
+SELECT p.product_id, p."view", p.type, p.read AS data, p.position, CASE WHEN type LIKE 'QR%' THEN 'DECODED'
+ WHEN contains(txt, lower(trim(read))) THEN 'LABEL_MATCH' ELSE 'NO_OCR_MATCH' END AS status
+FROM pairs p LEFT JOIN t ON t.product_id = p.product_id AND t."view" = p."view" """)
+def code_verify_all(spark, sf_dir):
+    """Codes against the lines of all variants; some have blanks, so their text may go over a line end."""
+    data, place = F.col("data"), F.col("position") % 3
+    codes = ev.select_pass(code_scans(spark, sf_dir)).withColumn("data", F.when(
+        place == 0, F.concat(data, F.lit(" "), data)).when(
+        place == 1, F.concat(F.lit(" "), data, F.lit(". "), data)).otherwise(data))
+    return ev.verify_codes(codes, ocr_lines(spark, sf_dir)).select(
+        "product_id", "view", "type", "data", "position", "status")
+
+
 @query("code_rollup", f"""WITH {_PASSED} SELECT v.product_id, v."view", count(type) FILTER (type LIKE 'QR%') AS qr_codes,
  count(type) FILTER (type NOT LIKE 'QR%') AS barcodes, count(type) AS total_codes
 FROM (SELECT DISTINCT product_id, "view" FROM ocr_lines) v LEFT JOIN (SELECT * FROM passed WHERE product_id % 4 <> 0) p
