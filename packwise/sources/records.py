@@ -2,25 +2,74 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, datetime
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwise.operators.registry import upsert
 
 
+def visible_records(records: DataFrame, user_id: str | None, officer_id: str | None, role: str) -> DataFrame:
+    """Records a user may see; administrators see all of them."""
+    if not user_id or role.strip().lower() == "admin":
+        return records
+    own = F.col("officer_user_id") == user_id
+    if officer_id is not None:
+        own = own | (F.col("officer_id") == officer_id)
+    return records.filter(own)
+
+
 def list_records(records: DataFrame, user_id: str | None, officer_id: str | None, role: str,
                  limit: int | None = None) -> DataFrame:
-    """Records a user may see, newest first; administrators see all of them. A page is asked for by ``limit``."""
-    visible = records
-    if user_id and role.strip().lower() != "admin":
-        own = F.col("officer_user_id") == user_id
-        if officer_id is not None:
-            own = own | (F.col("officer_id") == officer_id)
-        visible = records.filter(own)
-    ordered = visible.orderBy(F.desc("created_at"), "id")
+    """Records a user may see, newest first. A page is asked for by ``limit``."""
+    ordered = visible_records(records, user_id, officer_id, role).orderBy(F.desc("created_at"), "id")
     return ordered if limit is None else ordered.limit(limit)
 
 
+def stored_days(records: DataFrame) -> list[date | None]:
+    """The days of a stored registry, newest first and the undated last, from the names of its files."""
+    names = {unquote(m[1]) for f in records.inputFiles() if (m := re.search("/dt=([^/]+)/", f))}
+    days = sorted((date.fromisoformat(n) for n in names if not n.startswith("__")), reverse=True)
+    return [*days, *[None for n in names if n.startswith("__")]]
+
+
+def page_records(spark: SparkSession, path: str, limit: int, after: tuple[datetime | None, str] | None = None,
+                 user_id: str | None = None, officer_id: str | None = None, role: str = "admin") -> DataFrame:
+    """The next ``limit`` records of a stored registry, newest first, behind the record ``after`` (created_at, id).
+
+    Days are opened newest first, one, then twice as many, and so on, until they fill the page; older days
+    aren't read. Records of one time are ordered by id, undated ones come last. Pages don't shift when newer
+    records are added, for each is told by the last record of the one before.
+    """
+    records = read_records(spark, path)
+    days, behind = stored_days(records), F.lit(True)
+    if after is not None:
+        time, last = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        if after[0] is None:
+            days, behind = days[-1:], F.col("created_at").isNull() & (F.col("id") > last)
+        else:
+            first = records.select(F.to_date(time)).first()[0]  # the day as the session's time zone has it
+            days = [d for d in days if d is None or d <= first]
+            behind = F.col("created_at").isNull() | (F.col("created_at") < time) | (
+                (F.col("created_at") == time) & (F.col("id") > last))
+
+    def opened(chosen: list[date | None]) -> DataFrame:
+        dated = [d for d in chosen if d is not None]
+        within = F.col("dt").isin(dated) if dated else F.lit(False)
+        if len(dated) < len(chosen):
+            within = within | F.col("dt").isNull()
+        return visible_records(records.filter(within), user_id, officer_id, role).filter(behind)
+
+    upto, step, found = 0, 1, 0
+    while upto < len(days) and found < limit:
+        found += opened(days[upto:upto + step]).limit(limit - found).count()
+        upto, step = min(len(days), upto + step), 2 * step
+    return opened(days[:upto]).orderBy(F.desc("created_at"), "id").limit(limit)
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """Append records, one folder per day of creation."""
     records.withColumn("dt", F.to_date("created_at")).write.partitionBy("dt").mode(

@@ -36,6 +36,40 @@ def dedup_stream(records: DataFrame, key: str = "inspection_id", late: str = "1
     return timed.withWatermark("created_at", late).dropDuplicatesWithinWatermark([key])
 
 
+def write_unseen(batch: DataFrame, number: int, target: str, key: str, time: str) -> None:
+    """Writes the rows of a batch whose key no earlier batch has, the first of each key by ``time``.
+
+    A batch owns the folder of its number and looks at those before it alone, so running it again
+    writes the same rows.
+    """
+    spark = batch.sparkSession
+    schema = StructType([*batch.schema.fields, StructField("batch", LongType())])
+    seen = spark.read.schema(schema).parquet(target).where(F.col("batch") < number).select(F.col(key).alias("_seen"))
+    row = F.struct(*batch.columns)
+    first = batch.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct(F.col(time).isNull(), time, F.xxhash64(row))).alias("row"))
+    unseen = first.join(seen, F.col("_key").eqNullSafe(F.col("_seen")), "left_anti")
+    unseen.select("row.*").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+
+def run_unique(stream: DataFrame, name: str, key: str = "inspection_id", time: str = "created_at") -> DataFrame:
+    """Drains what has arrived into a table of first sightings and reads it back, however late a repeat comes.
+
+    The table itself is the registry of keys: each batch is reduced to the first row of a key and joined against
+    the keys of the batches before. Nothing is kept in the stream's state, and no row is too late to count.
+    """
+    spark = stream.sparkSession
+    target, checkpoint = new_folder(spark, name), new_folder(spark, f"{name}-state")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{target}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_unseen(batch, number, target, key, time)
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+        write).start().awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(schema).parquet(target).drop("batch")
+
+
 def run_to_table(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Drain what has arrived into a parquet table and read it back.
 

@@ -1,6 +1,7 @@
 """Registry writes and streams over several batches."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -53,6 +54,49 @@ def test_repeats_in_a_later_batch_are_dropped(spark):
     assert sorted(r["inspection_id"] for r in got.collect()) == [1, 2, 3]
 
 
+def test_repeats_far_beyond_a_watermark_and_late_first_sightings(spark):
+    ddl = "created_at string, inspection_id long, note string"
+    batches = [[("2024-01-01 10:00:00", 1, "a"), ("2024-01-01 09:00:00", 1, "b"), ("2024-01-01 11:00:00", 2, "a")],
+               [("2024-06-01 10:00:00", 1, "late"), ("2024-06-01 12:00:00", 3, "a"), (None, None, "none")],
+               [("2024-01-02 10:00:00", 4, "older than any watermark"), ("2024-12-01 10:00:00", 3, "late"), (None, None, "none again")]]
+    got = jobs.run_unique(_stream(spark, batches, ddl), "unique")
+    rows = sorted((r["inspection_id"] or 0, r["note"]) for r in got.collect())
+    assert rows == [(0, "none"), (1, "b"), (2, "a"), (3, "a"), (4, "older than any watermark")]
+    assert got.columns == ["created_at", "inspection_id", "note"]
+
+
+def test_a_batch_that_runs_again_writes_the_same_rows(spark):
+    target = new_folder(spark, "unique")
+    rows = [[(1, "2024-01-01"), (2, "2024-01-01")], [(2, "2024-02-01"), (3, "2024-02-01")]]
+    frames = [spark.createDataFrame(r, "inspection_id long, created_at string") for r in rows]
+    frames[0].limit(0).write.parquet(f"{target}/batch=-1")
+    for number in (0, 1, 0, 1):
+        jobs.write_unseen(frames[number], number, target, "inspection_id", "created_at")
+    got = spark.read.parquet(target).select("inspection_id", "batch").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_pages_open_the_newest_days_alone(spark, tmp_path):
+    rows = [(f"r{i:03}", f"2024-01-{1 + i // 10:02} 0{i % 10 // 4}:00:00", f"user{i % 3}") for i in range(200)]
+    rows += [("zz", None, "user0"), ("za", None, "user1")]
+    df = spark.createDataFrame(rows, "id string, created_at string, officer_user_id string").withColumn(
+        "created_at", F.col("created_at").cast("timestamp"))
+    path = str(tmp_path / "registry")
+    rec.write_records(df, path)
+    every = [r["id"] for r in df.orderBy(F.desc("created_at"), "id").collect()]
+    page = rec.page_records(spark, path, 25)
+    assert [r["id"] for r in page.collect()] == every[:25]
+    filters = re.search(r"PartitionFilters: \[(.*?)\], ", page._jdf.queryExecution().executedPlan().toString())[1]
+    assert set(re.findall(r"2024-\d\d-\d\d", filters)) == {"2024-01-20", "2024-01-19", "2024-01-18"}
+    got, after = [], None
+    while chunk := rec.page_records(spark, path, 47, after).collect():
+        got += [r["id"] for r in chunk]
+        after = (chunk[-1]["created_at"], chunk[-1]["id"])
+    assert got == every
+    own = rec.page_records(spark, path, 500, None, "user1", None, "officer").collect()
+    assert [r["id"] for r in own] == [i for i in every if dict((r[0], r[2]) for r in rows)[i] == "user1"]
+
+
 def test_whole_inspection_of_readable_and_unreadable_products(spark):
     from packwise.plans.inspection import inspect_products
     from packwise.sources.rules import load_rules

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from packwise.operators import analytics as a
@@ -197,6 +198,19 @@ def src_records(spark, sf_dir):
         "id", "created_at", "officer_id", "confidence_score")
 
 
+@query("src_records_page", R + """, numbered AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM records
+ WHERE confidence_score > 90)
+SELECT id, created_at, n FROM numbered WHERE n > 40 AND n <= 540""")
+def src_records_page(spark, sf_dir):
+    """Two pages of a stored registry, the second behind the last record of the first."""
+    path = new_folder(spark, "registry")
+    rec.write_records(records(spark, sf_dir).filter("confidence_score > 90"), path)
+    last = rec.page_records(spark, path, 40).collect()[-1]
+    page = rec.page_records(spark, path, 500, (last["created_at"], last["id"]))
+    order = Window.orderBy(F.desc("created_at"), "id")
+    return page.select("id", "created_at", (F.row_number().over(order) + 40).cast("bigint").alias("n"))
+
+
 @query("sink_records", R + """SELECT officer_user_id, product_id, id FROM (SELECT *, row_number() OVER
  (PARTITION BY officer_user_id, product_id ORDER BY created_at DESC, id DESC) AS rn FROM records) WHERE rn = 1""")
 def sink_records(spark, sf_dir):

@@ -43,3 +43,15 @@ def st_dedup(spark, sf_dir):
     """Every inspection arrives in two batches and is kept once."""
     stream = _arriving(spark, sf_dir, ["inspection_id", "created_at"], copies=2)
     return jobs.run_to_table(jobs.dedup_stream(stream, late="40 days"), "unique")
+
+
+@query("st_unique", f"WITH {DUCK_LABELS} SELECT inspection_id, created_at FROM label_fields")
+def st_unique(spark, sf_dir):
+    """Every inspection arrives again months later, far beyond any watermark, and its first sighting is kept."""
+    labels = label_fields(spark, sf_dir).select("inspection_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    path = new_folder(spark, "arriving")
+    for months in (0, 4, 9):
+        later = F.expr(f"created_at + make_interval(0, {months})").alias("created_at")
+        labels.select("inspection_id", later).repartition(4).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(labels.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return jobs.run_unique(stream, "unique").select("inspection_id", "created_at")
