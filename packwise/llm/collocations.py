@@ -36,10 +36,10 @@ SUPPORT, WIDTH, TOP = 10, 3, 2000
 CONTAINED = 50
 SHARDS = 3
 #: Parts of a language that are ranked by themselves, round after round.
-ROUNDS = (256, 4, 1)
+ROUNDS = (256, 16, 2, 1)
 FILTER_BITS = 27
 #: Bytes of text that a task counts at once, and rows of counts that it brings together before they move.
-BLOCK, HELD = 1 << 20, 40_000
+BLOCK, HELD = 1 << 20, 100_000
 #: Bits of one row of a bit map, as ``bitmap_construct_agg`` makes them (2^15).
 ROW_BITS = 1 << 15
 

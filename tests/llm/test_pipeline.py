@@ -73,7 +73,7 @@ def test_twins_of_the_queries(spark):
 
 def test_every_number_is_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and "flagship" in names
 
 
