@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 
 from packwise.llm.common import col, fresh
 
-#: The sample: at most so many labelled rows of a language, and code points of each.
+#: The sample: at most so many labelled rows of a language, and code points from a hashed place of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 512
 PIECE = 4096
 #: Greedy matches of four bytes and more: words of a language share short stretches.
@@ -47,7 +47,8 @@ class Model:
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Learns from labelled(doc_id, text, lang): per language the rows of the smallest hashes of doc_id."""
+    """Learns from labelled(doc_id, text, lang): per language the rows of the smallest hashes of doc_id, of each a
+    piece of ``chars`` code points from a place that the hash tells (the whole text, if it is shorter)."""
     usable = labelled.where(col("lang").isNotNull() & col("text").rlike(r"\p{L}"))
     usable = usable.select(col("lang").alias("lang"), col("text").alias("text"), col("doc_id").alias("doc_id"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -56,8 +57,10 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHAR
     # Thinned by hash first, so that few rows are ranked: eight times the bound is expected to be left.
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 8 * rows / n))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    places = F.greatest(F.char_length("text") - chars + 1, F.lit(1))
+    start = (F.pmod(F.xxhash64(F.lit("place"), F.col("doc_id")), places) + 1).cast("int")
     ranked = usable.where(place < share[F.col("lang")]).select(
-        "lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("h"))
+        "lang", F.substring(F.col("text"), start, F.lit(chars)).alias("text"), F.xxhash64("doc_id").alias("h"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     sample = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     texts: dict[str, list] = {lang: [] for lang in counts}

@@ -156,6 +156,15 @@ def test_language_held_out(spark):
     assert sum(r[2] for r in rows) >= 0.97 * len(rows)
 
 
+def test_language_is_learnt_from_any_place_of_a_text(spark):
+    rows = [(i, " ".join(f"w{chr(97 + j // 26 % 26)}{chr(97 + j % 26)}x" for j in range(500)), "en", "a", 0) for i in range(40)]
+    (_, content), = langid.learn(docs(spark, rows)).dictionaries
+    found = {w for w in content.split() if len(w) == 4}
+    assert len(found) > 450  # the first 512 code points hold 102 words
+    short = langid.learn(docs(spark, [(1, "kurz und gut", "de", "a", 0)])).dictionaries
+    assert short == (("de", b"kurz und gut"),)
+
+
 def test_language_of_odd_rows(spark):
     model = langid.Model((("en", b"the river took old stones down to sea"), ("fr", "où êtes vous allés hier".encode())))
     got = {r["doc_id"]: r for r in langid.identify(docs(spark, clashes=True), model).collect() if r["doc_id"]}
