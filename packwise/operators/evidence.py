@@ -416,6 +416,21 @@ def best_candidate(merged: DataFrame, candidates: Sequence[str] = CANDIDATES) ->
     )
 
 
+#: Fixed value: the variant of a view in which no variant has a line.
+NO_CANDIDATE = "none"
+
+
+def chosen_candidates(views: DataFrame, merged: DataFrame, candidates: Sequence[str] = CANDIDATES) -> DataFrame:
+    """product_id, view, best_candidate, score, visual_lines of every view; ``none`` without score where no variant
+    has a line."""
+    best = best_candidate(merged, candidates)
+    scored = candidate_scores(merged).select(*VIEW_KEYS, F.col("candidate").alias("best_candidate"), "n_lines")
+    found = best.join(scored, [*VIEW_KEYS, "best_candidate"], "left")
+    return views.select(*VIEW_KEYS).join(found, list(VIEW_KEYS), "left").select(
+        *VIEW_KEYS, F.coalesce("best_candidate", F.lit(NO_CANDIDATE)).alias("best_candidate"), "score",
+        F.coalesce("n_lines", F.lit(0)).alias("visual_lines"))
+
+
 def extraction_lines(merged: DataFrame, candidates: Sequence[str] = CANDIDATES,
                      hot: int | None = HOT_LINES) -> DataFrame:
     """Lines of all variants merged per view; ``line_no`` is the reading order.

@@ -115,3 +115,18 @@ def test_whole_inspection_of_readable_and_unreadable_products(spark):
     assert [c["status"] for c in row[0]["code_scans"]] == ["LABEL_MATCH"]
     assert {b["field"] for b in row[0]["boxes"]} >= {"net_quantity", "mrp"}
     assert sorted((r["product_id"], "no view" in r["reason"]) for r in unusable.collect()) == [(2, False), (3, True)]
+
+
+def test_newest_folder_by_the_time_of_its_files(spark, tmp_path):
+    from packwise.sources import fields_json as fj
+    for folder, time, mrp in (("product_b", 2_000_000_000, "2"), ("product_a", 1_999_999_000, "1"), ("product_c", 1_500_000_000, "3")):
+        (tmp_path / folder).mkdir()
+        for name in ("x.json", "y.json"):
+            file = tmp_path / folder / name
+            file.write_text(f'{{"product_folder": "{folder}", "mrp": "{mrp}", "brand": "{name}"}}')
+            os.utime(file, (time, time - (name == "x.json") * 5))
+    read, _ = fj.read_fields(spark, str(tmp_path))
+    assert sorted((r["mrp"], r["brand"]) for r in fj.latest_folder(read).collect()) == [("2", "x.json"), ("2", "y.json")]
+    assert sorted((r["product_folder"], r["brand"]) for r in fj.latest_per_folder(read).collect()) == [
+        (f"product_{x}", "y.json") for x in "abc"]
+    assert fj.latest_folder(read.limit(0)).count() == 0

@@ -152,6 +152,22 @@ def ln_candidate_score(spark, sf_dir):
         "product_id", "view", "candidate", "n_lines", F.round("score", 6).alias("score"))
 
 
+@query("ln_candidate_best", f"""WITH {DUCK_LINES}, kept AS (SELECT *, {_SEQ} AS crank FROM ocr_lines
+ WHERE {_TIDY} <> '' AND product_id % 4 <> 0 AND NOT (product_id % 4 = 1 AND candidate = 'enhanced')),
+found AS (SELECT product_id, "view", candidate, crank, n, round(s, 9) AS s FROM (SELECT product_id, "view", candidate, crank, count(*) AS n,
+ avg(confidence) * (1 + 0.1 * count(*)) AS s FROM kept GROUP BY ALL)),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY product_id, "view" ORDER BY s DESC, crank) = 1)
+SELECT v.product_id, v."view", coalesce(candidate, 'none') AS best_candidate, round(s, 6) AS score, coalesce(n, 0) AS visual_lines
+FROM (SELECT DISTINCT product_id, "view" FROM ocr_lines) v LEFT JOIN best b ON b.product_id = v.product_id AND b."view" = v."view" """)
+def ln_candidate_best(spark, sf_dir):
+    """Each view's strongest variant; every fourth product has no line at all, others lack a variant."""
+    lines, part = ocr_lines(spark, sf_dir), F.col("product_id") % 4
+    text = F.when((part == 0) | ((part == 1) & (F.col("candidate") == "enhanced")), " ").otherwise(F.col("text"))
+    merged = stored(ev.candidate_lines(lines.withColumn("text", text)), "variant-lines")
+    return ev.chosen_candidates(lines.select("product_id", "view").distinct(), merged).withColumn(
+        "score", F.round("score", 6))
+
+
 @query("ln_box_rescale", L + """SELECT product_id, "view", candidate, CAST(line_no AS BIGINT) AS line_no,
  CASE WHEN product_id % 5 = 0 THEN x1 ELSE CAST(format('{:.2f}', least(1000.0::DOUBLE + product_id,
   x1 * ((1000.0::DOUBLE + product_id) / 800))) AS DOUBLE) END AS x1,

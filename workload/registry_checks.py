@@ -297,6 +297,18 @@ def src_fields_json(spark, sf_dir):
     return latest.select("product_folder", "mrp", "net_quantity", "is_imported")
 
 
+@query("src_fields_latest", f"""WITH {DUCK_LABELS} SELECT inspection_id, mrp, net_quantity FROM label_fields WHERE officer_no % 3 = 1""")
+def src_fields_latest(spark, sf_dir):
+    """Three folders of field files are written one after the other; the rows of the one written last count."""
+    path, labels = new_folder(spark, "fields"), label_fields(spark, sf_dir)
+    for folder in (2, 0, 1):
+        own = labels.where(F.col("officer_no") % 3 == folder).select(
+            F.lit(f"product_{folder}").alias("product_folder"), "inspection_id", "mrp", "net_quantity")
+        fields_json.write_json(own, f"{path}/product_{folder}")
+    read, _ = fields_json.read_fields(spark, path, extra="inspection_id bigint")
+    return fields_json.latest_folder(read).select("inspection_id", "mrp", "net_quantity")
+
+
 @query("src_fields_quarantine", f"""WITH {DUCK_LABELS} SELECT sha256('broken {{' || inspection_id) AS record, 1 AS files
  FROM label_fields WHERE inspection_id % 7 = 0""")
 def src_fields_quarantine(spark, sf_dir):
