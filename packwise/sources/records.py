@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import date, datetime
 from urllib.parse import unquote
 
@@ -10,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwise.operators.registry import upsert
+from packwise.sources.storage import exists, remove, stored
+
+#: Folders beside the days; readers skip names of this form.
+STAGED, NOTE = "_staged", "_replacing"
 
 
 def visible_records(records: DataFrame, user_id: str | None, officer_id: str | None, role: str) -> DataFrame:
@@ -79,17 +84,39 @@ def write_records(records: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """Stored records; ``since`` prunes whole days."""
-    stored = spark.read.parquet(path)
-    return stored if since is None else stored.filter(F.col("dt") >= F.lit(since).cast("date"))
+    kept = spark.read.parquet(path)
+    return kept if since is None else kept.filter(F.col("dt") >= F.lit(since).cast("date"))
 
 
-def upsert_records(spark: SparkSession, path: str, updates: DataFrame) -> None:
-    """Replace the result columns of the stored records that ``updates`` names.
+def upsert_records(spark: SparkSession, path: str, updates: DataFrame) -> DataFrame:
+    """Replace the result columns of the stored records that ``updates`` names; returns the updates that met none.
 
     Only the days of the updated records are read and written again; ``updates`` has the
-    records' ids and creation times. The list of days is the one thing that is gathered.
+    records' ids and creation times (none for undated ones). The list of days is the one thing that is gathered.
+
+    The new days are written aside as a whole, then a note names them, then they take the old ones' place, which may
+    be done again any number of times. A run that ends early leaves the note, or nothing at all: the next one (or
+    ``finish_upsert``) ends its work first.
     """
+    updates = stored(updates, "updates")  # they may be read from the days that are about to be replaced
+    finish_upsert(spark, path)
     days = [r[0] for r in updates.select(F.to_date("created_at")).distinct().collect()]
-    touched = read_records(spark, path).filter(F.col("dt").isin(days))
-    upsert(touched, updates).write.partitionBy("dt").mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").parquet(path)
+    within = F.col("dt").isin([d for d in days if d is not None])
+    touched = read_records(spark, path).filter(within | F.col("dt").isNull() if None in days else within)
+    staged = f"{path}/{STAGED}/{uuid.uuid4().hex}"
+    upsert(touched, updates).write.partitionBy("dt").parquet(staged)
+    unmet = stored(updates.join(touched.select("id"), "id", "left_anti"), "unmet-updates")
+    spark.createDataFrame([(staged,)], "staged string").coalesce(1).write.mode("overwrite").json(f"{path}/{NOTE}")
+    finish_upsert(spark, path)
+    return unmet
+
+
+def finish_upsert(spark: SparkSession, path: str) -> None:
+    """Puts the days that a note names into their place, if there is one."""
+    if not exists(spark, f"{path}/{NOTE}"):
+        return
+    for row in spark.read.schema("staged string").json(f"{path}/{NOTE}").collect():
+        spark.read.parquet(row["staged"]).write.partitionBy("dt").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").parquet(path)
+    remove(spark, f"{path}/{NOTE}")
+    remove(spark, f"{path}/{STAGED}")

@@ -130,3 +130,47 @@ def test_newest_folder_by_the_time_of_its_files(spark, tmp_path):
     assert sorted((r["product_folder"], r["brand"]) for r in fj.latest_per_folder(read).collect()) == [
         (f"product_{x}", "y.json") for x in "abc"]
     assert fj.latest_folder(read.limit(0)).count() == 0
+
+
+def test_an_upsert_that_stops_between_two_days_is_ended_by_the_next(spark, tmp_path, monkeypatch):
+    rows = spark.range(8).select(
+        F.col("id").cast("string").alias("id"),
+        F.when(F.col("id") < 6, F.expr("timestamp'2024-01-01' + make_interval(0,0,0,int(id % 3))")).alias("created_at"),
+        *[F.lit("old").alias(c) for c in RESULT_COLUMNS])
+    path = str(tmp_path / "registry")
+    rec.write_records(rows, path)
+
+    def updates(ids, value):
+        found = rec.read_records(spark, path).where(F.col("id").isin(ids)).drop("dt")
+        return found.withColumns({c: F.lit(value) for c in RESULT_COLUMNS})
+
+    def values():
+        return {r["id"]: r[RESULT_COLUMNS[0]] for r in rec.read_records(spark, path).collect()}
+
+    class Stopped(Exception):
+        pass
+
+    finish, calls = rec.finish_upsert, []
+
+    def stops(spark, path):
+        """The second time, one of the days is replaced and then the run ends."""
+        calls.append(path)
+        if len(calls) == 1:
+            return finish(spark, path)
+        staged = spark.read.json(f"{path}/{rec.NOTE}").first()["staged"]
+        spark.read.parquet(staged).where("dt = '2024-01-02'").write.partitionBy("dt").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").parquet(path)
+        raise Stopped
+
+    monkeypatch.setattr(rec, "finish_upsert", stops)
+    try:
+        rec.upsert_records(spark, path, updates(["0", "1", "7"], "new"))
+    except Stopped:
+        pass
+    assert values() == {**dict.fromkeys("02345678"[:-1], "old"), "1": "new", "6": "old"}  # half done
+    monkeypatch.setattr(rec, "finish_upsert", finish)
+    strange = updates(["2"], "newer").unionByName(updates(["3"], "lost").withColumn("id", F.lit("99")))
+    unmet = rec.upsert_records(spark, path, strange)
+    assert values() == {"0": "new", "1": "new", "2": "newer", "3": "old", "4": "old", "5": "old", "6": "old", "7": "new"}
+    assert [r["id"] for r in unmet.collect()] == ["99"]
+    assert not any(d.startswith("_") and d != "_SUCCESS" for d in os.listdir(path))

@@ -8,7 +8,7 @@ from packwise.functions import geometry as g
 from packwise.functions import text as tx
 from packwise.operators import evidence as ev
 from packwise.operators import view_merge as vm
-from packwise.plans.inspection import inspect_lines, inspect_products
+from packwise.plans.inspection import inspect_lines, inspect_products, merged_lines
 from packwise.schemas import LABEL_FIELDS, TEXT_FIELDS
 from packwise.sources.rules import load_rules
 from packwise.sources.storage import stored
@@ -238,6 +238,15 @@ def ln_raw_text(spark, sf_dir):
         "product_id", F.md5(F.col("raw_text").cast("binary")).alias("raw_text"))
 
 
+@query("ln_raw_text_merged", L + """SELECT product_id, md5(string_agg('[' || "view" || '] ' || trim(text), chr(10) ORDER BY
+ CASE "view" WHEN 'front' THEN 0 WHEN 'back' THEN 1 ELSE 2 END, line_no)) AS raw_text
+FROM ocr_lines WHERE candidate = 'enhanced' AND trim(text) <> '' GROUP BY product_id""")
+def ln_raw_text_merged(spark, sf_dir):
+    """The text of all variants, merged: copies of a line fall together, so it reads like one variant."""
+    return ev.raw_text(merged_lines(ocr_lines(spark, sf_dir))).select(
+        "product_id", F.md5(F.col("raw_text").cast("binary")).alias("raw_text"))
+
+
 @query("ln_usable_gate", L + """SELECT p.product_id, CASE WHEN r.product_id IS NULL THEN
  'OCR returned no view results. No compliance score was generated.' WHEN NOT r.ok THEN
  'OCR could not read text from the uploaded images. No compliance score was generated.' END AS reason
