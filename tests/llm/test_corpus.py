@@ -308,6 +308,38 @@ def test_threshold_is_held_out(spark):
     assert "Join" not in plan and "transform" in plan  # only the written labelled rows are judged
 
 
+def test_all_labelled_rows_count(spark):
+    """None of many labelled rows is left out of the target or the threshold."""
+    n = 11_000
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"), F.lit(0).alias("toxic"))
+    table = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat_ws(
+        " ", *[F.hash("id", F.lit(i)) % 9 for i in range(4)], *[F.lit(f"w{i}") for i in range(60)]).alias("text"))
+    rows = quality.labelled_rows(table, quality.marks_of(labels), 64)
+    counts = quality.counts_with(table, rows, 64)
+    assert counts == quality.counted(table, quality.trusted_ids(labels), 64)
+    assert [sum(c) for c in zip(*counts)] == [n * 127, n // 2 * 127]
+    few = quality._perhaps_among(table, labels.where("doc_id < 40")).select("doc_id").collect()
+    assert {r[0] for r in few} >= set(range(40)) and len(few) < 100
+    assert quality._perhaps_among(table, labels.withColumn("doc_id", F.col("doc_id").cast("int"))) is table
+    held = quality.held_scores(table, labels, counts)
+    assert {r["good"]: r["count"] for r in held.groupBy("good").count().collect()} == {True: n // 2, False: n // 2}
+
+
+def test_cut_of_a_frame_is_that_of_a_list(spark):
+    import random
+    draw = random.Random(5)
+    for n, spread in ((400, 1.0), (60, 0.001), (300, 9.0)):
+        held = [(draw.choice(["en", "de", None]), good, round(draw.gauss(0.6 if good else -0.6, 0.4) * spread, 3))
+                for good in (True, True, True, False) for _ in range(n // 4)]
+        frame = spark.createDataFrame(held, "lang string, good boolean, score double")
+        assert quality.held_out_cut(frame) == quality.threshold(held) > -math.inf
+        for part in ("good", "not good", "false"):
+            assert quality.held_out_cut(frame.where(part)) == -math.inf
+    one = spark.createDataFrame([("en", True, 0.5), ("en", False, 0.25), ("en", False, 0.125)], frame.schema)
+    assert quality.held_out_cut(one) == 0.5 and quality.held_out_cut(one.where("score <> 0.25")) == 0.5
+    assert quality.held_out_cut(one.withColumn("good", F.col("score") < 0.2)) == -math.inf
+
+
 def test_trusted_ids_are_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2, 1 if i % 10 == 1 else 0) for i in range(400)] + [(None, 1, 0), (7, 1, 0)],
                                    "doc_id long, quality int, toxic int")
