@@ -22,13 +22,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, StringType
 
+from packwise.functions.keys import perhaps_among
 from packwise.llm.common import ASCII_SPACE, col, fresh, written
 
 BUCKETS = 16_384
-#: Ids are told apart by so many bits of their hash before they are joined (see ``_perhaps_among``).
-MAP_BITS = 27
 #: A lost good row weighs as so many kept bad ones.
 LOSS = 10
 SCALE = 1_000_000
@@ -105,24 +103,6 @@ def marks_of(labels: DataFrame) -> DataFrame:
     return told.groupBy(col("doc_id").alias("doc_id")).agg(F.max(_is_good()).alias("good"))
 
 
-def _perhaps_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Without most rows whose doc_id isn't among the ids, so that few texts move to a join with them.
-
-    The ids are a bit map of 2^MAP_BITS hashes (16 MB, sent to every task), whatever their number.
-    """
-    kinds = {df.schema["doc_id"].dataType for df in (rows, ids)}
-    if len(kinds) > 1 or not isinstance(*kinds, (IntegralType, StringType)):
-        return rows  # equal values may have other hashes
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS)
-    line, bit = F.shiftright(place, 15), place % (1 << 15)
-    lines = ids.select(line.alias("_line"), bit.alias("_bit")).groupBy("_line").agg(
-        F.bitmap_construct_agg("_bit").alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(F.col("_bit"), 3).cast("int") + 1, F.lit(1))), 16, 10)
-    found = rows.withColumns({"_line": line, "_bit": bit}).join(F.broadcast(lines), "_line")
-    shifted = F.call_function("shiftright", byte.cast("int"), (F.col("_bit") % 8).cast("int"))
-    return found.where(shifted.bitwiseAND(1) == 1).select(*rows.columns)
-
-
 def labelled_rows(docs: DataFrame, marks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """lang, good, base_failed and the sorted buckets of all n-grams (``grams``) of every marked row.
 
@@ -132,7 +112,7 @@ def labelled_rows(docs: DataFrame, marks: DataFrame, buckets: int = BUCKETS) ->
     lang = col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"), lang.cast("string").alias("lang"))
     marks = marks.select("doc_id", "good")
-    rows = _perhaps_among(rows, marks).join(marks.hint("shuffle_hash"), "doc_id")
+    rows = perhaps_among(rows, marks, "doc_id")[0].join(marks.hint("shuffle_hash"), "doc_id")
     out, name = _measured(rows)
     grams = F.transform(F.concat(name["_one"], name["_two"]), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
     return written(out.select("lang", "good", name["base_failed"], F.sort_array(grams).alias("grams")), "labelled-rows")

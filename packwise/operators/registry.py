@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwise.functions import text as tx
+from packwise.functions.keys import perhaps_among
 from packwise.operators.compliance import check
 from packwise.operators.mapping import map_to_rules
 from packwise.operators.replies import reply_object
@@ -39,11 +40,16 @@ def officer_info(users: DataFrame) -> DataFrame:
     )
 
 
-def to_records(results: DataFrame, officers: DataFrame, fallback_id: str = "job_product_id",
+def with_officers(labels: DataFrame, officers: DataFrame) -> DataFrame:
+    """Labels with their officer's columns; before they are scored, fewer and shorter columns move."""
+    return labels.join(officers, "officer_user_id", "left")
+
+
+def to_records(results: DataFrame, officers: DataFrame | None = None, fallback_id: str = "job_product_id",
                fields=LABEL_FIELDS) -> DataFrame:
-    """Scored labels joined with their officer, in record form."""
-    own = [c for c in officers.columns if c != "officer_user_id"]
-    joined = results.join(officers, "officer_user_id", "left")
+    """Scored labels joined with their officer, in record form; without ``officers`` they have the officer's columns."""
+    joined = results if officers is None else with_officers(results, officers)
+    own = [c for c in (joined if officers is None else officers).columns if c != "officer_user_id"]
     present = [f for f in fields if f in results.columns]
     filled = {
         name: F.coalesce(tx.empty_to_null(F.col(name)), F.lit(default)) if name in own
@@ -132,13 +138,14 @@ def correction_diff(original: DataFrame, current: DataFrame, key: str) -> DataFr
 
 
 def upsert(records: DataFrame, updates: DataFrame) -> DataFrame:
-    """Replace the result columns of the records named by ``updates``."""
+    """Replace the result columns of the records named by ``updates``; hardly any other record moves."""
     new = updates.select("id", F.struct(*RESULT_COLUMNS).alias("_new"))
-    return records.join(new, "id", "left").select(*[
+    named, others = perhaps_among(records, updates, "id")
+    return named.join(new, "id", "left").select(*[
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
         if c in RESULT_COLUMNS else F.col(c)
         for c in records.columns
-    ])
+    ]).unionByName(others)
 
 
 # ---- suggested fixes -------------------------------------------------------------

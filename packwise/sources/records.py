@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwise.operators.registry import upsert
-from packwise.sources.storage import exists, remove, stored
+from packwise.sources.storage import exists, move_folders, remove, stored
 
 #: Folders beside the days; readers skip names of this form.
 STAGED, NOTE = "_staged", "_replacing"
@@ -94,8 +94,8 @@ def upsert_records(spark: SparkSession, path: str, updates: DataFrame) -> DataFr
     Only the days of the updated records are read and written again; ``updates`` has the
     records' ids and creation times (none for undated ones). The list of days is the one thing that is gathered.
 
-    The new days are written aside as a whole, then a note names them, then they take the old ones' place, which may
-    be done again any number of times. A run that ends early leaves the note, or nothing at all: the next one (or
+    The new days are written aside as a whole, then a note names them, then their folders take the old ones' place, which
+    may be done again any number of times. A run that ends early leaves the note, or nothing at all: the next one (or
     ``finish_upsert``) ends its work first.
     """
     updates = stored(updates, "updates")  # they may be read from the days that are about to be replaced
@@ -105,7 +105,9 @@ def upsert_records(spark: SparkSession, path: str, updates: DataFrame) -> DataFr
     touched = read_records(spark, path).filter(within | F.col("dt").isNull() if None in days else within)
     staged = f"{path}/{STAGED}/{uuid.uuid4().hex}"
     upsert(touched, updates).write.partitionBy("dt").parquet(staged)
-    unmet = stored(updates.join(touched.select("id"), "id", "left_anti"), "unmet-updates")
+    missing = stored(updates.select("id").join(touched.select("id"), "id", "left_anti").select(
+        F.col("id").alias("_id")), "unmet-ids")  # ids alone move, and mostly none is left
+    unmet = stored(updates.join(missing, F.col("id").eqNullSafe(F.col("_id")), "left_semi"), "unmet-updates")
     spark.createDataFrame([(staged,)], "staged string").coalesce(1).write.mode("overwrite").json(f"{path}/{NOTE}")
     finish_upsert(spark, path)
     return unmet
@@ -116,7 +118,6 @@ def finish_upsert(spark: SparkSession, path: str) -> None:
     if not exists(spark, f"{path}/{NOTE}"):
         return
     for row in spark.read.schema("staged string").json(f"{path}/{NOTE}").collect():
-        spark.read.parquet(row["staged"]).write.partitionBy("dt").mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").parquet(path)
+        move_folders(spark, row["staged"], path, "dt=")
     remove(spark, f"{path}/{NOTE}")
     remove(spark, f"{path}/{STAGED}")

@@ -318,9 +318,10 @@ def test_all_labelled_rows_count(spark):
     counts = quality.counts_with(table, rows, 64)
     assert counts == quality.counted(table, quality.trusted_ids(labels), 64)
     assert [sum(c) for c in zip(*counts)] == [n * 127, n // 2 * 127]
-    few = quality._perhaps_among(table, labels.where("doc_id < 40")).select("doc_id").collect()
-    assert {r[0] for r in few} >= set(range(40)) and len(few) < 100
-    assert quality._perhaps_among(table, labels.withColumn("doc_id", F.col("doc_id").cast("int"))) is table
+    few, rest = quality.perhaps_among(table, labels.where("doc_id < 40"), "doc_id")
+    few = [r[0] for r in few.select("doc_id").collect()]
+    assert set(few) >= set(range(40)) and len(few) < 100 and rest.count() + len(few) == n
+    assert quality.perhaps_among(table, labels.withColumn("doc_id", F.col("doc_id").cast("int")), "doc_id")[0] is table
     held = quality.held_scores(table, labels, counts)
     assert {r["good"]: r["count"] for r in held.groupBy("good").count().collect()} == {True: n // 2, False: n // 2}
 

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from packwise.functions.keys import perhaps_among
 from packwise.operators.registry import RESULT_COLUMNS
 from packwise.sources import records as rec
 from packwise.sources.storage import new_folder
@@ -174,3 +175,34 @@ def test_an_upsert_that_stops_between_two_days_is_ended_by_the_next(spark, tmp_p
     assert values() == {"0": "new", "1": "new", "2": "newer", "3": "old", "4": "old", "5": "old", "6": "old", "7": "new"}
     assert [r["id"] for r in unmet.collect()] == ["99"]
     assert not any(d.startswith("_") and d != "_SUCCESS" for d in os.listdir(path))
+
+
+def test_an_upsert_writes_each_record_once_and_moves_the_named_alone(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("1", 1), ("1", 2), ("2", 3), (None, 4), ("3", 5)], "id string, number int").select(
+        "id", "number", F.expr("timestamp'2024-01-01' + make_interval(0,0,0,number % 2)").alias("created_at"),
+        *[F.lit("old").alias(c) for c in RESULT_COLUMNS])
+    path = str(tmp_path / "registry")
+    rec.write_records(rows, path)
+    found = rec.read_records(spark, path).drop("dt")
+    named = found.where("id = '2' or id is null or number = 1").withColumns({c: F.lit("new") for c in RESULT_COLUMNS})
+    twice = named.unionByName(named.where("id = '2'").withColumn("summary", F.lit("newer"))).withColumn(
+        "id", F.when(F.col("number") == 1, "9").otherwise(F.col("id")))
+    finish, staged = rec.finish_upsert, []
+
+    def files(folder):
+        return {name for _, _, names in os.walk(folder) for name in names if name.endswith(".parquet")}
+
+    def noted(spark, path):
+        staged.append(files(f"{path}/{rec.STAGED}"))
+        finish(spark, path)
+
+    monkeypatch.setattr(rec, "finish_upsert", noted)
+    unmet = rec.upsert_records(spark, path, twice)
+    assert sorted((r["id"] or "", r["number"]) for r in unmet.collect()) == [("", 4), ("9", 1)]
+    got = [(r["id"], r["number"], r["summary"]) for r in rec.read_records(spark, path).collect()]
+    assert sorted(got, key=repr) == sorted([
+        ("1", 1, "old"), ("1", 2, "old"), ("2", 3, "new"), ("2", 3, "newer"), (None, 4, "old"), ("3", 5, "old")], key=repr)
+    assert staged[-1] and files(path) == staged[-1]  # the staged files themselves took the days' place
+    finish(spark, path)  # nothing is left to be done
+    named, others = perhaps_among(spark.range(100_000).toDF("id"), spark.range(50).toDF("id"), "id")
+    assert 50 <= named.count() < 200 and others.count() + named.count() == 100_000 and others.where("id < 50").isEmpty()

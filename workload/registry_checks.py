@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packwise.operators import analytics, registry as rg, report as rp
+from packwise.operators.compliance import check
 from packwise.schemas import LABEL_FIELDS
 from packwise.sources import fields_json, images as img, manifest
 from packwise.sources.rules import load_rules
@@ -110,12 +111,14 @@ _OFFICERS = """officers AS (SELECT c_custkey AS officer_user_id, lower(c_name) |
 
 
 def _records(spark, sf_dir):
-    scored = scored_labels(spark, sf_dir).withColumns({
-        "id": F.col("inspection_id"), "officer_user_id": F.col("officer_no"),
+    labels = rg.with_officers(label_fields(spark, sf_dir).withColumn("officer_user_id", F.col("officer_no")),
+                              _officers(spark, sf_dir))
+    scored = check(labels, load_rules(spark)).withColumns({
+        "id": F.col("inspection_id"),
         "job_product_id": F.concat(F.lit("job-"), F.col("inspection_id").cast("string")),
         "view_names": F.array(F.lit("front")),
     })
-    return rg.to_records(scored, _officers(spark, sf_dir))
+    return rg.to_records(scored)
 
 
 @query("rg_record", f"""WITH {DUCK_RESULT}, {_OFFICERS} SELECT inspection_id AS id, r.created_at, coalesce(o.officer_id, 'UNKNOWN') AS officer_id,
