@@ -103,3 +103,35 @@ def test_verified_codes_are_computed_once(spark):
     verified = ev.verify_codes(ev.select_pass(_codes(spark)), lines)
     assert any("/codes-" in f for f in verified.inputFiles())
     assert {r["data"]: r["status"] for r in verified.collect()} == {"z": "LABEL_MATCH", "x": "DECODED"}
+
+
+def test_united_variants_move_once(spark):
+    """Both merges in one move give what they give one after the other."""
+    import random
+    draw = random.Random(3)
+    rows = []
+    for n in range(3000):
+        x, y = draw.randrange(12) * 4.0, draw.randrange(40 if n % 2 else 2000) * 3.0
+        rows.append((n % 7 if n % 50 else None, draw.choice(["front", "back"]), draw.choice([*ev.CANDIDATES, "other", None]), n // 3,
+                     draw.choice(["A  b", "a b", "c", " ", None]), draw.choice([0.5, 0.7, 0.9, None]),
+                     [[x, y], [x + 20, y + 10]] if n % 9 else None))
+    lines = spark.createDataFrame(rows, "product_id long, view string, candidate string, line_no long, text string, "
+                                        "confidence double, polygon array<array<double>>")
+
+    def plain(df):
+        return sorted(map(repr, df.select(lines.columns).collect()))
+
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for hot, batch in ((None, "10000"), (50, "10000"), (None, "7")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            apart = ev.candidate_lines(lines, hot=hot)
+            united = ev.candidate_lines(lines, hot=hot, united=True)
+            assert plain(united) == plain(apart)
+            assert plain(ev.extraction_lines(united)) == plain(ev.extraction_lines(apart, hot=hot))
+            assert 0 < ev.extraction_lines(united).count() < united.count()
+            assert plain(ev.visual_lines(united)) == plain(ev.visual_lines(apart))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    merged = ev.extraction_lines(ev.candidate_lines(lines, hot=None, united=True))
+    assert _moves(merged) == [("_a", "_b")]
