@@ -18,9 +18,20 @@ SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(f"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at the ends; printable ASCII there, the common case, needs no search."""
-    ends = [F.substring(text, place, 1).between("!", "~") for place in (1, -1)]
-    return F.when(ends[0] & ends[1], text).otherwise(F.btrim(text, F.lit(SPACE_CHARACTERS)))
+    """Without white space at the ends; printable ASCII there, also beside plain blanks, needs no search."""
+    plain = F.trim(text)
+    return F.when(_starts_plain(text) & _starts_plain(text, -1), text).when(
+        _starts_plain(plain) & _starts_plain(plain, -1), plain).otherwise(F.btrim(text, F.lit(SPACE_CHARACTERS)))
+
+
+def _starts_plain(text: Column, place: int = 1) -> Column:
+    """The character at one end is printable ASCII."""
+    return F.substring(text, place, 1).between("!", "~")
+
+
+def strips_to_text(text: Column) -> Column:
+    """``strip`` leaves something, as the first character mostly tells."""
+    return F.when(_starts_plain(text), F.lit(True)).otherwise(strip(text) != "")
 
 
 def collapse(text: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from packwise.operators import evidence as ev
 from packwise.operators import extraction as ex
 from packwise.operators import view_merge as vm
+from packwise.functions import text as tx
 from packwise.schemas import TEXT_FIELDS
+from workload.inputs import code_scans
 
 
 @pytest.fixture
@@ -91,6 +93,28 @@ def _codes(spark):
         "product_id long, view string, scan_pass string, type string, data string, position long")
 
 
+def test_words_of_code_scans_are_divided_once(spark, tmp_path):
+    spark.createDataFrame([(4, "a b\nc"), (5, ""), (6, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scans = code_scans(spark, str(tmp_path))
+    rows = scans.select("product_id", "view", "type", "data", "position").collect()
+    own = [(1, "back", "QRCODE", "8901234567890", 0), (1, "back", "QRCODE", "8901234567890", 1),
+           (1, "back", " EAN13 ", "8901234567890", 100000), (1, "side", "QRCODE", "8901234567890", 0)]
+    assert sorted(map(tuple, rows)) == sorted(own * 3)
+    plan = scans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode([[enhanced") < plan.index("posexplode(split(text")  # below the variants
+
+
+def test_stripping_plain_blanks_needs_no_search(spark):
+    texts = ["", " ", "  a b ", "a", " a", "a\t ", " \u3000a", "\u00e9 ", " \u00e9", "\u00e9", "\x1c~ ", " ! ", "\u2003", "\x01 ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(tx.strip(F.col("t")).alias("s"), F.btrim("t", F.lit(tx.SPACE_CHARACTERS)).alias("plain"),
+                     tx.strips_to_text(F.col("t")).alias("left")).collect()
+    assert [r["s"] for r in rows] == [r["plain"] for r in rows]
+    assert [r["left"] for r in rows] == [None if t is None else r["plain"] != "" for t, r in zip(texts, rows)]
+    plan = df.select(tx.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim(t" in plan.replace("btrim(", "")  # plain blanks go without the list of all white space
+
+
 def test_codes_move_twice(spark, no_broadcast):
     passed = ev.select_pass(_codes(spark))
     assert len(_moves(passed)) == 2 and "Join" not in passed._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ in DuckDB, so both engines read the same recipe text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31 00:00:00"
@@ -162,24 +162,35 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document line and image variant, with its box."""
-    lines = table(spark, sf_dir, "documents").select(
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")
     )
-    variants = F.array(*[
+
+
+def _variants() -> Column:
+    return F.array(*[
         F.struct(F.lit(name).alias("candidate"), F.lit(rank).alias("crank"))
         for rank, name in enumerate(("enhanced", "original", "sharpened"))
     ])
+
+
+def _view_keys() -> tuple[Column, Column]:
+    doc = F.col("doc_id")
+    view = F.when(doc % 3 == 0, "front").when(doc % 3 == 1, "back").otherwise("side")
+    return F.floor(doc / 3).alias("product_id"), view.alias("view")
+
+
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document line and image variant, with its box."""
+    lines = _document_lines(spark, sf_dir)
     doc, line, rank = F.col("doc_id"), F.col("line_no"), F.col("crank")
     top = (20 * line + rank).cast("double")
     return (
-        lines.withColumn("variant", F.explode(variants))
+        lines.withColumn("variant", F.explode(_variants()))
         .select("*", "variant.*")
         .select(
-            F.floor(doc / 3).alias("product_id"),
-            F.when(doc % 3 == 0, "front").when(doc % 3 == 1, "back").otherwise("side").alias("view"),
-            "candidate", "line_no", "text",
+            *_view_keys(), "candidate", "line_no", "text",
             ((50 + (doc * 31 + line * 17 + rank * 7) % 50).cast("double") / 100).alias("confidence"),
             F.array(
                 F.array(F.lit(10.0), top), F.array(F.lit(210.0), top),
@@ -275,6 +286,8 @@ DUCK_CODES = f"{DUCK_LINES}, code_scans AS (" + CODE_SCANS_SQL.format(
 
 
 def code_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ocr_lines(spark, sf_dir).select(
-        "product_id", "view", "line_no", F.posexplode(F.split("text", " ", -1)).alias("place", "word"))
+    """A line's words are the same in all its variants, so they are divided once."""
+    words = _document_lines(spark, sf_dir).select(
+        *_view_keys(), "line_no", F.posexplode(F.split("text", " ", -1)).alias("place", "word"))
+    words = words.withColumn("variant", F.explode(_variants())).drop("variant")
     return spark.sql(CODE_SCANS_SQL, all_words=words)
