@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,31 +44,46 @@ def _listed(text: Column) -> Column:
     return F.concat(F.lit("["), text, F.lit("\n]"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names more than once: the expression holds the value once, however it grows."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _object(text: Column) -> Column:
     """The map of a text that is one JSON object and nothing else, else null; the last of equal keys counts."""
+    def last_of_equal(whole: Column) -> Column:
+        names = F.array_distinct(F.map_keys(whole))
+        last = F.transform(names, lambda k: F.element_at(
+            F.filter(F.map_entries(whole), lambda e: e["key"] == k), -1)["value"])
+        return F.when(F.size(names) < F.size(F.map_keys(whole)), F.map_from_arrays(names, last)).otherwise(whole)
+
     parts = F.from_json(_listed(text), "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    whole = F.when((F.size(parts) == 1) & text.startswith("{") & text.endswith("}"), parts[0])
-    names = F.array_distinct(F.map_keys(whole))
-    last = F.transform(names, lambda k: F.element_at(
-        F.filter(F.map_entries(whole), lambda e: e["key"] == k), -1)["value"])
-    return F.when(F.size(names) < F.size(F.map_keys(whole)), F.map_from_arrays(names, last)).otherwise(whole)
+    alone = _once(parts, lambda p: F.when(F.size(p) == 1, p[0]))
+    return _once(F.when(text.startswith("{") & text.endswith("}"), alone), last_of_equal)
 
 
 def reply_object(reply: Column) -> Column:
     """Reply text -> key/value map; null when no JSON object can be read.
 
     Thinking blocks are dropped. A text that is JSON is taken as it is; else what stands from
-    the first to the last brace must be one object.
+    the first to the last brace must be one object. The reply is named once, each step's result, too:
+    the expression grows with the steps, not with their product.
     """
-    body = tx.strip(F.regexp_replace(tx.strip(reply), r"(?is)<think>.*?</think>", ""))
-    span = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    other = ~body.startswith("{") & (F.json_array_length(_listed(body)) == 1)
-    return F.when(~F.coalesce(other, F.lit(False)), F.coalesce(_object(body), _object(span)))
+    def read(body: Column) -> Column:
+        span = F.regexp_extract(body, r"(?s)\{.*\}", 0)
+        other = ~body.startswith("{") & (F.json_array_length(_listed(body)) == 1)
+        return F.when(~F.coalesce(other, F.lit(False)), F.coalesce(_object(body), _once(span, _object)))
+
+    return _once(tx.strip_found(F.regexp_replace(tx.strip_found(reply), r"(?is)<think>.*?</think>", "")), read)
 
 
 def parse_replies(df: DataFrame, reply: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a readable reply (column ``parsed``), and the rest with the reason."""
-    parsed = df.withColumn("parsed", reply_object(F.col(reply)))
+    """Rows with a readable reply (column ``parsed``), and the rest with the reason.
+
+    A reply is read in a generator of one row, which no filter moves below: it is read once a frame, and what made it
+    isn't put into the condition.
+    """
+    parsed = df.withColumn("parsed", F.explode(F.array(reply_object(F.col(reply)))))
     reason = F.when(tx.is_blank(F.col(reply)), "empty content").otherwise("no JSON object")
     return (
         parsed.filter("parsed is not null"),

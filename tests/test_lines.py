@@ -219,6 +219,18 @@ def test_replies_whole_or_not_at_all(spark):
     assert bad.count() == 3
 
 
+def test_a_made_reply_is_named_once(spark):
+    """What makes the reply isn't repeated by the steps that read it, nor put into the condition on them."""
+    rows = [('{"a":1,"b":{"c":', "2}}"), ("<think>{", '}</think> so {"a":null} it is'), ("\u3000", " "), (None, "{}"), ('"{', '}"')]
+    made = spark.createDataFrame(rows, "head string, tail string").select(F.concat("head", "tail").alias("reply"))
+    good, bad = rp.parse_replies(made, "reply")
+    for frame in (good, bad, rp.fill_defaults(good)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("concat(head") <= 1 and len(plan) < 30_000
+    assert [r["parsed"] for r in good.collect()] == [{"a": "1", "b": '{"c":2}'}, {"a": None}]
+    assert [r["reason"] for r in bad.collect()] == ["empty content", "empty content", "no JSON object"]
+
+
 def test_rollup_of_a_view_with_two_errors(spark):
     manifest = spark.createDataFrame([(1, "front"), (1, "back")], "product_id int, view string")
     views = spark.createDataFrame([(1, "front", "blurred"), (1, "front", "absent"), (1, "back", None)],
