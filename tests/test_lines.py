@@ -1,6 +1,7 @@
 """Spatial deduplication against a brute-force fold, view merge, ids, image metrics."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -350,3 +351,34 @@ def test_codes_in_a_view_text_that_is_never_put_together(spark):
         assert r["status"] == expected and r["message"] == ev.VERIFICATION[expected]
         seen.add((expected, " " in value))
     assert len(seen) == 6 and got.count() == len(codes)
+
+
+def test_patterns_wait_for_a_word_they_need(spark):
+    """Plain searches before the patterns leave out nothing that these find, in odd letters and blanks too."""
+    from packwise.functions import text as tx
+    from packwise.operators import extraction as ex
+    texts = [
+        "Net Qty: 5 Kılograms m . r . p Rs 20", "NET 3 pıeces", "2 Kg", "7 l", "٤٥ ml", "a2 g", "QTУ 1 g", "quantity-2 g",
+        "MAXIMUM  RETAIL PRİCE: ₹ 12.50 ıncluſıve of all TAXES", "mrp only ınr 9", "M R P 7", "incl.of all taxes", "taxes ıncluded",
+        "Mfd.by A Foods cuſtomer care", "packed  by B lic 2", "PKD 1/2/24 mfg:03/2025 date of pacKing 4 days", "Manufactured on 1/24",
+        "b.b. 12 months from packing uſe by 1/25", "bb 3 days", "BEST before end 2/26", "Expıry 2/26", "because 5/25 exp 3/26", "unit ſale price Rs. 2 per kg",
+        "rſ 3/g", "₹ 4 / ml", "ınr.5/l", "Generic Name: Tea Bags", "made ın India", "Country of Orıgin - China", "orİgin X",
+        "ſhelf  life", "valid for ever", "a.b+c@x-y.in, +91 9876543210", "x@@y.com 6123456789", "chocolate oil", "ſoap soap", "", " ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    t, plain = F.col("t"), lambda patterns, group=1, text=None: tx.collapse_found(F.coalesce(*[
+        tx.extract(F.col("t") if text is None else text, re.sub(r"^\(\?iU\)\(\?=(?:\\d|\[.*?\]|.)\)", "(?iU)", p), group) for p in patterns]))
+    date = r"\s*[:.\-]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}[/-]\d{2,4}|\d+\s*(?:days?|months?|years?)(?:\s+from\s+(?:mfd|manufacturing|packing))?)"
+    dates = {n: [f"(?iU)(?:{'|'.join(labels)}){date}"] for n, labels in (
+        ("mfg_date", ex.MFG_LABELS), ("best_before", ex.BEST_BEFORE_LABELS), ("use_by", ex.USE_BY_LABELS))}
+    want = {
+        "net_quantity": ex.normalize_quantity(plain(ex.QUANTITY_PATTERNS, text=tx.collapse(t))), "mrp": plain(ex.MRP_PATTERNS, text=tx.collapse(t)),
+        "unit_sale_price": plain(ex.UNIT_PRICE_PATTERNS, 0), "manufacturer_address": plain(ex.MAKER_PATTERNS),
+        "country_of_origin": plain(ex.ORIGIN_PATTERNS), "mrp_inclusive_of_taxes": tx.matches_any(t, ex.TAX_WORDING),
+        "mrp_declaration_detected": tx.matches_any(t, ex.MRP_WORDING), "product_type": ex.classify(t)["type"],
+        "generic_name": ex.generic_name(t), "consumer_care": ex.consumer_care(t), **{n: plain(p) for n, p in dates.items()}}
+    found = ex.fields_of_text(df, "t")
+    assert sorted(map(tuple, found.select("n", *want).collect())) == sorted(map(tuple, df.select("n", *want.values()).collect()))
+    for name, value in want.items():
+        assert found.where(F.col(name).cast("string") != "false").count(), name
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(_folded") > len(ex.BRANDS) + 20 and "RLIKE juice" not in plan
